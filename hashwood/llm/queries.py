@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op6_secrets
+from . import op1_token_files, op6_secrets
 from .common import table
 
 
+def op1_token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_token_files.token_files(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_files": op1_token_files_query,
     "op6_secrets": op6_secrets_query,
 }
 
