@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,7 +48,7 @@ def encoder(path: str | None):
 
         model = Tokenizer.from_file(path)
         model.encode_special_tokens = True
-        whole = lambda xs: [e.ids for e in model.encode_batch_fast(xs, add_special_tokens=False)]
+        whole = lambda xs: [array("I", e.ids).tobytes() for e in model.encode_batch_fast(xs, add_special_tokens=False)]
         _MEMO[path] = Memo(public_tokenizers.PATTERN, whole), whole, regex.compile(r"[^\x00-ɏ]").search
     memo, whole, odd = _MEMO[path]
 
@@ -56,7 +57,7 @@ def encoder(path: str | None):
         out = memo.encode(plain)
         for i, t in enumerate(batch):
             if t and not plain[i]:
-                out[i] = np.array(whole([t])[0], "<u4").tobytes()
+                out[i] = whole([t])[0]
         return out
 
     return encode

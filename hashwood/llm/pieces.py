@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Callable
 
 import regex
@@ -14,7 +13,7 @@ MEMO_PIECES = 400_000
 class Memo:
     """Ids of pieces as little-endian unsigned 32-bit integers; resolve gets each unknown piece of a batch once."""
 
-    def __init__(self, pattern: str, resolve: Callable[[list[str]], list[list[int]]]):
+    def __init__(self, pattern: str, resolve: Callable[[list[str]], list[bytes]]):
         self.split = regex.compile(pattern).findall
         self.resolve, self.known = resolve, {}
 
@@ -23,8 +22,7 @@ class Memo:
             self.known.clear()
         split = [self.split(t) for t in texts]
         unknown = list(set().union(*split).difference(self.known))
-        for piece, ids in zip(unknown, self.resolve(unknown) if unknown else (), strict=True):
-            self.known[piece] = array("I", ids).tobytes()
+        self.known.update(zip(unknown, self.resolve(unknown) if unknown else (), strict=True))
         found = self.known.__getitem__
         return [b"".join(map(found, pieces)) for pieces in split]
 

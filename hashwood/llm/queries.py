@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_token_files, op6_secrets
+from . import op1_token_files, op2_byte_bpe, op6_secrets
 from .common import table
 
 
@@ -14,12 +14,17 @@ def op1_token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_token_files.token_files(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_byte_bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_byte_bpe.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files_query,
+    "op2_byte_bpe": op2_byte_bpe_query,
     "op6_secrets": op6_secrets_query,
 }
 
