@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_token_files, op2_byte_bpe, op6_secrets
+from . import op1_token_files, op2_byte_bpe, op6_secrets, op7_warc, op9_decontaminate
 from .common import table
 
 
@@ -22,10 +22,22 @@ def op6_secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_warc.archive(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op9_decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_decontaminate.scan(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files_query,
     "op2_byte_bpe": op2_byte_bpe_query,
     "op6_secrets": op6_secrets_query,
+    "op7_warc": op7_warc_query,
+    "op9_decontaminate": op9_decontaminate_query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_warc": op7_warc.SQL,
+}
