@@ -10,7 +10,9 @@ their texts; null doc_ids come first; other columns are ignored; an empty table
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -23,11 +25,15 @@ from pyspark.sql import functions as F
 
 from . import simple8b
 from .common import BATCH_ROWS, arrow_schema, as_batch, new_path, texts
-from .pieces import Memo, slices
+from .pieces import MEMO_PIECES, slices
 
 BLOCK_IDS = 1 << 18
 END_ID = 2
 SCHEMA = "part int, block int, n_ids long, doc_ids array<long>, lengths array<long>, words binary, offsets binary, escapes binary"
+# The byte-level split for plain Latin texts, letters and numbers up to U+024F spelt out.
+_L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
+PIECES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?(?:[{_L}]+|[{_N}]+|[^\s{_L}{_N}]+)|\s+(?!\S)|\s+").findall
+ODD = re.compile(r"[^\t\n\x20-\x7e\xa1-ɏ]").search
 _MEMO: dict[str, tuple] = {}
 
 
@@ -37,27 +43,50 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Known(dict):
+    """Ids of pieces as the library's model gives them, each asked for once."""
+
+    def __init__(self, model):
+        # Byte-level models see a byte as a printable character: its own where it has one, else the next from 256 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.chars = {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.tokenize = model.tokenize
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self[piece] = array("I", [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.chars))]).tobytes()
+        return found
+
+
 def encoder(path: str | None):
-    """Texts to ids as bytes. Latin texts go piece by piece through a memo, others whole to the library, as only there could its classes of letters differ from regex's."""
+    """Texts to ids as bytes.
+
+    Plain Latin texts are split into pieces here, and the library's model gets each distinct piece once. Others, in which
+    classes of letters or spaces could differ between libraries, go to the library whole, as all do with a tokenizer of
+    another kind.
+    """
     path = path or default_tokenizer()
     if path not in _MEMO:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(path)
-        model.encode_special_tokens = True
-        whole = lambda xs: [array("I", e.ids).tobytes() for e in model.encode_batch_fast(xs, add_special_tokens=False)]
-        _MEMO[path] = Memo(public_tokenizers.PATTERN, whole), whole, regex.compile(r"[^\x00-ɏ]").search
-    memo, whole, odd = _MEMO[path]
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        parts = json.loads(tokenizer.to_str())
+        split = parts["pre_tokenizer"] or {}
+        bytewise = (parts["model"]["type"], parts["normalizer"], split.get("type"), split.get("use_regex"), split.get("add_prefix_space")) == ("BPE", None, "ByteLevel", True, False)
+        _MEMO[path] = tokenizer, Known(tokenizer.model) if bytewise else None
+    tokenizer, known = _MEMO[path]
 
     def encode(batch: list[str]) -> list[bytes]:
-        plain = ["" if odd(t) else t for t in batch]
-        out = memo.encode(plain)
-        for i, t in enumerate(batch):
-            if t and not plain[i]:
-                out[i] = whole([t])[0]
+        if known is not None and len(known) > MEMO_PIECES:
+            known.clear()
+        out = []
+        for text in batch:
+            if known is None or ODD(text):
+                out.append(array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
+            else:
+                out.append(b"".join(map(known.__getitem__, PIECES(text))))
         return out
 
     return encode
@@ -91,7 +120,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
             yield as_batch(pack(part, block, doc_ids, ids), schema)
 
     ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    ordered.mapInArrow(run, SCHEMA).write.parquet(path)
+    ordered.mapInArrow(run, SCHEMA).write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(path)
 
 
 def unpack(row: dict) -> Iterator[tuple]:
