@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_token_files, op2_byte_bpe, op6_secrets, op7_warc, op9_decontaminate
+from . import op1_token_files, op2_byte_bpe, op6_secrets, op7_warc, op8_near_dedup, op9_decontaminate
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op7_warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_warc.archive(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+def op8_near_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_near_dedup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), size=3, num=85, den=100)
+
+
 def op9_decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_decontaminate.scan(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
@@ -35,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe_query,
     "op6_secrets": op6_secrets_query,
     "op7_warc": op7_warc_query,
+    "op8_near_dedup": op8_near_dedup_query,
     "op9_decontaminate": op9_decontaminate_query,
 }
 
