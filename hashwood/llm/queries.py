@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_token_files, op2_byte_bpe, op3_toxicity, op6_secrets, op7_warc, op8_near_dedup, op9_decontaminate
+from . import op1_token_files, op2_byte_bpe, op3_toxicity, op5_pii, op6_secrets, op7_warc, op8_near_dedup, op9_decontaminate
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_toxicity.toxicity(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
+def op5_pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_pii.pii(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files_query,
     "op2_byte_bpe": op2_byte_bpe_query,
     "op3_toxicity": op3_toxicity_query,
+    "op5_pii": op5_pii_query,
     "op6_secrets": op6_secrets_query,
     "op7_warc": op7_warc_query,
     "op8_near_dedup": op8_near_dedup_query,
