@@ -8,11 +8,14 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that go to a Python worker at once. With texts of some 100 KB a batch stays near 100 MB, with usual ones near 4 MB.
 BATCH_ROWS = 1024
+#: Bytes of text that mapped_texts() works on at once.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -38,10 +41,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df from a table in the shared folder: cuts lineage and outlives executors."""
+def written(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """The rows of df from a table in the shared folder: cuts lineage and outlives executors.
+
+    release: have the driver look for shuffles that nothing refers to any more, so that their files go before the next.
+    """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    if release:
+        df.sparkSession._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -67,6 +75,24 @@ def mapped(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str) -
     return df.mapInArrow(run, schema)
 
 
+def mapped_texts(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
+    """As mapped, for (key, text) in df; long texts come in smaller batches, so that what rows makes of them stays small."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    arrow = arrow_schema(spark, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths, start, held = pc.binary_length(batch.column(1)).to_pylist(), 0, 0
+            for i, n in enumerate(lengths):
+                held += n or 0
+                if held >= BATCH_BYTES or i + 1 == len(lengths):
+                    yield as_batch(rows(batch.slice(start, i + 1 - start)), arrow)
+                    start, held = i + 1, 0
+
+    return df.mapInArrow(run, schema)
+
+
 def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

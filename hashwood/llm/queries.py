@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_token_files, op2_byte_bpe, op3_toxicity, op5_pii, op6_secrets, op7_warc, op8_near_dedup, op9_decontaminate
+from . import op1_token_files, op2_byte_bpe, op3_toxicity, op5_pii, op6_secrets, op7_warc, op8_near_dedup, op9_decontaminate, op10_exact_dedup
 from .common import table
 
 
@@ -42,6 +42,10 @@ def op9_decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_decontaminate.scan(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op10_exact_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_exact_dedup.exact_dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files_query,
     "op2_byte_bpe": op2_byte_bpe_query,
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_warc": op7_warc_query,
     "op8_near_dedup": op8_near_dedup_query,
     "op9_decontaminate": op9_decontaminate_query,
+    "op10_exact_dedup": op10_exact_dedup_query,
 }
 
 ORACLE_SQL: dict[str, str] = {
