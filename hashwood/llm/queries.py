@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_token_files, op2_byte_bpe, op3_toxicity, op5_pii, op6_secrets, op7_warc, op8_near_dedup, op9_decontaminate, op10_exact_dedup
+from . import op1_token_files, op2_byte_bpe, op3_toxicity, op4_fingerprint, op5_pii, op6_secrets, op7_warc, op8_near_dedup, op9_decontaminate, op10_exact_dedup
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_toxicity.toxicity(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
+def op4_fingerprint_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_fingerprint.fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op5_pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_pii.pii(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files_query,
     "op2_byte_bpe": op2_byte_bpe_query,
     "op3_toxicity": op3_toxicity_query,
+    "op4_fingerprint": op4_fingerprint_query,
     "op5_pii": op5_pii_query,
     "op6_secrets": op6_secrets_query,
     "op7_warc": op7_warc_query,
