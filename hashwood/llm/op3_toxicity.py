@@ -68,6 +68,16 @@ class Model:
     def __init__(self, tables: dict[str, np.ndarray]):
         self.tables = tables
 
+    def __getstate__(self) -> dict:
+        # Most places are empty: workers get the others.
+        return {name: (len(t), np.flatnonzero(t).astype(np.int32), t[t != 0]) for name, t in self.tables.items()}
+
+    def __setstate__(self, state: dict) -> None:
+        self.tables = {}
+        for name, (size, place, values) in state.items():
+            self.tables[name] = np.zeros(size, values.dtype)
+            self.tables[name][place] = values
+
     def evidence(self, batch: list[str]) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary)."""
         padded = [START * (ORDER - 1) + w + END for w in batch]
@@ -262,7 +272,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer | None:
     sample = labelled.where(_fold() == 3).select(F.xxhash64("doc_id").alias("h"), "text", "toxic")
     found = mapped(sample, rows, "h long, toxic int, x array<double>").orderBy("h").limit(FIT_ROWS).toArrow()
     x, y = np.array(found["x"].to_pylist(), float).reshape(-1, FEATURES), np.array(found["toxic"].to_pylist(), float)
-    shared.unpersist()
+    shared.destroy()
     return Scorer(model, fit_curve(x, y) if len(y) and y.min() < y.max() else plain)
 
 
