@@ -7,9 +7,12 @@ Equal sets form classes. Bands of registers propose links between classes, the c
 unlikely ones, and the rest are confirmed on full sets.
 
 A band's bucket may hold thousands of classes, so its pairs are never listed. First each class meets the least class of
-its buckets. Components of the confirmed links follow; then only classes of one bucket in different components are
-compared, in blocks of bounded size, the likeliest few pairs per two components first and more in each round, until no
-likely pair of two components is left unconfirmed.
+its buckets. Components of the confirmed links follow. Classes of a bucket with several components may still have links
+that weren't tried: for these, a prefix of the rarest shingles of each set, so long that two linked sets must share one,
+is searched exactly. Rare shingles have few holders, while sets that differ in too many places share none of their prefix.
+Holders of a shingle in different components are compared in blocks of bounded size. Likely pairs go on to confirmation
+if they are few; in a block with many, members are compared on full sets there, and only links come out, one for every
+two components.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing; a text of fewer
 words than a shingle is one shingle; equal texts are linked; rows that repeat a doc_id get a result each, by their text;
@@ -18,7 +21,7 @@ a null doc_id takes no part and stays; other columns are ignored; an empty table
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, arrow_schema, as_batch, drop_written, mapped, texts, written
+from .common import BATCH_ROWS, arrow_schema, as_batch, drop_written, mapped, mapped_texts, texts, written
 from .components import components
 
 BUCKETS, MANTISSA = 256, 10
@@ -38,6 +41,8 @@ COLLISION = 2.0**-MANTISSA / 3
 SIGMAS = 5
 MEMO_WORDS = 300_000
 BLOCK = 500
+#: Likely pairs per member up to which a block passes them on one by one.
+SPARSE = 4
 _U = np.uint64
 _WORDS: dict[bytes, int] = {}
 _STARTS = np.arange(BUCKETS, dtype=_U) << _U(56)
@@ -119,13 +124,13 @@ def _registers(column: pa.Array) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n (size of the set), set_key (128 bits of the set), registers; the last two null for an empty set."""
+    """doc_id, text_hash, n (size of the set), set_key (128 bits of the set), registers; the last two null for an empty set."""
 
     def rows(batch: pa.RecordBatch) -> dict:
         sets = [shingles(t, size) for t in texts(batch.column(1))]
-        return {"doc_id": batch.column(0), "n": [len(s) for s in sets], "set_key": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], "registers": [sketch(s).astype("<u2").tobytes() if len(s) else None for s in sets]}
+        return {"doc_id": batch.column(0), "text_hash": batch.column(2), "n": [len(s) for s in sets], "set_key": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], "registers": [sketch(s).astype("<u2").tobytes() if len(s) else None for s in sets]}
 
-    return mapped(docs.select("doc_id", "text"), rows, "doc_id long, n long, set_key binary, registers binary")
+    return mapped_texts(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), rows, "doc_id long, text_hash long, n long, set_key binary, registers binary")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -153,71 +158,161 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int)
     """pairs (a, b) with linked: whether their full sets are similar enough."""
     wanted = pairs.selectExpr("explode(array(a, b)) doc_id").distinct()
 
-    def rows(batch: pa.RecordBatch) -> dict:
-        return {"rep": batch.column(0), "items": [shingles(t, size).astype(np.int64) for t in texts(batch.column(1))]}
-
-    sets = written(mapped(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text"), rows, "rep long, items array<long>"), "sets")
+    sets = written(_set_rows(docs, wanted, size), "sets")
     one, two = sets.toDF("a", "items_a"), sets.toDF("b", "items_b")
     # The set of b travels to a; a class that many pairs share is split among tasks by its partners.
     common = F.size(F.array_intersect("items_a", "items_b"))
     joined = pairs.join(two, "b").join(one, "a").select("a", "b", common.alias("common"), (F.size("items_a") + F.size("items_b") - common).alias("all"))
-    out = written(joined.groupBy("a", "b").agg(F.expr(f"bool_or({den}L * common >= {num}L * all)").alias("linked")), "confirmed")
+    out = written(joined.groupBy("a", "b").agg(F.expr(f"bool_or({den}L * common >= {num}L * all)").alias("linked")), "confirmed", release=True)
     drop_written(sets)
     return out
 
 
-def _across(bands: DataFrame, classes: DataFrame, labels: DataFrame, done: DataFrame, share: float, most: int) -> DataFrame:
-    """Likely pairs of different components within a band's bucket that aren't in done.
+def _set_rows(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """rep and items, the whole set, of the wanted documents (doc_id)."""
+
+    def rows(batch: pa.RecordBatch) -> dict:
+        return {"rep": batch.column(0), "items": [shingles(t, size).astype(np.int64) for t in texts(batch.column(1))]}
+
+    return mapped_texts(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text"), rows, "rep long, items array<long>")
+
+
+def _prefixes(shared: DataFrame, labels: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """(band_key, rep): rare shingles that each class of an undecided bucket must share with any class it is linked to.
 
-    Buckets of one component are finished. Others are dealt into blocks by a hash of the class; a task sees two blocks
-    of one bucket at a time and passes on, for each two components, the likeliest few pairs.
+    Of two sets with enough in common, the shorter prefix rule holds for both: all but num/den of a set's shingles, and
+    one more, rarest first. Shingles that no other undecided class has count, but can't be shared.
     """
-    members = bands.join(labels.toDF("rep", "component"), "rep", "left").selectExpr("band_key", "rep", "coalesce(component, rep) component")
-    spread = members.groupBy("band_key").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("members > 2 and lo < hi").selectExpr("band_key", f"cast(ceil(members / {BLOCK}) as int) blocks")
-    rows = members.join(spread, "band_key").withColumn("block", F.expr("pmod(xxhash64(rep), blocks)"))
-    dealt = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).selectExpr("band_key", "least(block, other) x", "greatest(block, other) y", "block", "rep", "component")
-    dealt = dealt.join(classes.select("rep", "registers"), "rep")
-    spark = bands.sparkSession
+    members = shared.join(labels.toDF("rep", "component"), "rep", "left").selectExpr("band_key", "rep", "coalesce(component, rep) component")
+    open_keys = members.groupBy("band_key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band_key")
+    undecided = members.join(open_keys, "band_key", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
+    sets = written(_set_rows(docs, undecided, size), "undecided")
+    each = sets.select("rep", F.size("items").alias("n"), F.explode("items").alias("band_key"))
+    common = each.groupBy("band_key").agg(F.count("*").alias("holders")).where("holders > 1")
+    held = each.join(common, "band_key").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("holders", "band_key"))).alias("found"))
+    # A set of n must share at least num * n / den, so a prefix is n - ceil(num * n / den) + 1; its unshared ones come first.
+    length = "n - cast((num_ * n + den_ - 1) div den_ as int) + 1 - (n - size(found))".replace("num_", str(num)).replace("den_", str(den))
+    out = written(held.selectExpr("rep", f"explode(slice(found, 1, greatest(0, {length}))) x").selectExpr("x.band_key", "rep").distinct(), "prefixes", release=True)
+    drop_written(sets)
+    return out
+
+
+def _dealt(prefixes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (band_key, x, y, block, rep, component) of shingles with several components, in blocks of about BLOCK rows.
+
+    Two blocks x and y of a shingle meet in one group, so no task holds more however many holders there are.
+    """
+    members = prefixes.join(labels.toDF("rep", "component"), "rep", "left").selectExpr("band_key", "rep", "coalesce(component, rep) component")
+    spread = members.groupBy("band_key").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").selectExpr("band_key", f"cast(ceil(members / {BLOCK}) as int) blocks")
+    rows = members.join(spread, "band_key").withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
+    return rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).selectExpr("band_key", "least(block, other) x", "greatest(block, other) y", "block", "rep", "component")
+
+
+def _grouped(rows: DataFrame, columns: list[str], made: Callable[[list, list], dict], ddl: str) -> DataFrame:
+    """made of each group of (band_key, x, y), which gets its rows of columns."""
+    spark = rows.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    ddl, least = "a long, b long", least_estimate(share)
     schema = arrow_schema(spark, ddl)
 
-    def pairs_of(group: list) -> dict:
-        reps, parts, blocks = (np.array([g[i] for g in group]) for i in (0, 1, 2))
-        registers = np.frombuffer(b"".join(g[3] for g in group), "<u2").reshape(-1, BUCKETS)
-        x, y, found = blocks == blocks.min(), blocks == blocks.max(), []
-        for i in np.flatnonzero(x):
-            others = np.flatnonzero(y & (parts != parts[i]) & ((reps > reps[i]) | ~x))
-            if len(others):
-                guess = estimate(registers[others], registers[i])
-                found += [(-g, *sorted((int(reps[i]), int(reps[j]))), *sorted((int(parts[i]), int(parts[j])))) for g, j in zip(guess, others, strict=True) if g >= least]
-        held, out = {}, []
-        for _, a, b, *two in sorted(found):
-            held[(*two,)] = held.get((*two,), 0) + 1
-            if held[(*two,)] <= most:
-                out.append((a, b))
-        return {"a": [p[0] for p in out], "b": [p[1] for p in out]}
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group = None, []
+        now, group = None, []
         for batch in batches:
-            for *now, rep, component, block, registers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if now != key and group:
-                    yield as_batch(pairs_of(group), schema)
+            for *key, row in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.select(columns).to_struct_array(), strict=True):
+                if key != now and group:
+                    yield as_batch(made(now, group), schema)
                     group = []
-                key = now
-                group.append((rep, component, block, registers))
+                now = key
+                group.append(row)
         if group:
-            yield as_batch(pairs_of(group), schema)
+            yield as_batch(made(now, group), schema)
+
+    return rows.select("band_key", "x", "y", *columns).repartition("band_key", "x", "y").sortWithinPartitions("band_key", "x", "y").mapInArrow(run, ddl)
+
+
+def _column(group: list, name: str) -> list:
+    return [row[name].as_py() for row in group]
 
-    grouped = dealt.select("band_key", "x", "y", "rep", "component", "block", "registers").repartition("band_key", "x", "y").sortWithinPartitions("band_key", "x", "y")
-    return grouped.mapInArrow(run, ddl).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
+
+def _tried(blocks: np.ndarray, reps: np.ndarray, registers: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each member of the first block, the members of the second that a link is likely to; each pair once."""
+    x, y = blocks == blocks.min(), blocks == blocks.max()
+    for i in np.flatnonzero(x):
+        others = np.flatnonzero(y & ((reps > reps[i]) | ~x))
+        if len(others):
+            yield i, others[estimate(registers[others], registers[i]) >= least]
+
+
+def _likely_across(dealt: DataFrame, classes: DataFrame, share: float) -> DataFrame:
+    """Likely links between components of a group: pairs (a, b), or where there are more than SPARSE per member the members (a) alone."""
+    least = least_estimate(share)
+
+    def made(key: list, group: list) -> dict:
+        blocks, reps, parts = (np.array(_column(group, c)) for c in ("block", "rep", "component"))
+        registers = np.frombuffer(b"".join(_column(group, "registers")), "<u2").reshape(-1, BUCKETS)
+        on, pairs, n = np.zeros(len(reps), bool), [], 0
+        for i, others in _tried(blocks, reps, registers, least):
+            others = others[parts[others] != parts[i]]
+            n += len(others)
+            on[others] = True
+            on[i] |= len(others) > 0
+            if n <= SPARSE * len(reps):
+                pairs += [(min(reps[i], reps[j]), max(reps[i], reps[j])) for j in others]
+        if n <= SPARSE * len(reps):
+            a, b = [p for p, _ in pairs], [q for _, q in pairs]
+        else:
+            a = np.unique(reps[on]).tolist()
+            b = [None] * len(a)
+        return {k: [v] * len(a) for k, v in zip(("band_key", "x", "y"), key, strict=True)} | {"a": a, "b": b}
+
+    rows = dealt.join(classes.select("rep", "registers"), "rep")
+    return _grouped(rows, ["block", "rep", "component", "registers"], made, "band_key long, x int, y int, a long, b long")
+
+
+def _links_across(rows: DataFrame, classes: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) between components, confirmed on full sets; of two components' links in a group one is enough."""
+    least = least_estimate(num / den)
+    sets = written(_set_rows(docs, rows.select(F.col("rep").alias("doc_id")).distinct(), size), "sets")
+
+    def made(key: list, group: list) -> dict:
+        blocks, reps = (np.array(_column(group, c)) for c in ("block", "rep"))
+        parts = _column(group, "component")
+        registers = np.frombuffer(b"".join(_column(group, "registers")), "<u2").reshape(-1, BUCKETS)
+        items = [row["items"].values.to_numpy() for row in group]
+        distinct, places = np.unique(np.concatenate(items), return_inverse=True)
+        bounds = np.cumsum([0, *map(len, items)])
+        places = [places[p:q] for p, q in zip(bounds, bounds[1:], strict=False)]
+        joined: dict = {}
+
+        def part(i: int):
+            p = parts[i]
+            while p in joined:
+                p = joined[p]
+            return p
+
+        out, mark = {"a": [], "b": []}, np.zeros(len(distinct), bool)
+        for i, others in _tried(blocks, reps, registers, least):
+            mark[places[i]] = True
+            for j in others:
+                if part(i) != part(j):
+                    common = int(np.count_nonzero(mark[places[j]]))
+                    if den * common >= num * (len(places[i]) + len(places[j]) - common):
+                        joined[part(i)] = part(j)
+                        out["a"].append(min(reps[i], reps[j]))
+                        out["b"].append(max(reps[i], reps[j]))
+            mark[places[i]] = False
+        return out
+
+    whole = rows.join(classes.select("rep", "registers"), "rep").join(sets, "rep")
+    found = written(_grouped(whole, ["block", "rep", "component", "registers", "items"], made, "a long, b long").distinct(), "links", release=True)
+    drop_written(sets)
+    return found
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (least doc_id linked, over any number of links), kept, n_links.
+    """Per row: doc_id, n_shingles, component_id (least doc_id linked, over any number of links), kept, n_links, text_hash.
 
-    Sets are linked where den * common >= num * all. n_links counts the confirmed links of the row's class.
+    Sets are linked where den * common >= num * all. n_links counts the confirmed links of the row's class that were needed to find its component. text_hash is
+    Spark's xxhash64 of the text, which with doc_id finds the row.
     """
     share = num / den
     held = written(sketches(docs, size), "sketches")
@@ -225,19 +320,38 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     classes = written(whole.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("registers").alias("registers")), "classes")
     narrow = classes.select("rep", "n", "registers").dropDuplicates(["rep", "registers"])
     bands = written(_bands(classes), "bands")
-    centres = bands.groupBy("band_key").agg(F.min("rep").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
-    first = bands.join(centres, "band_key").where("rep <> a").selectExpr("a", "rep b").distinct()
+    centres = bands.groupBy("band_key").agg(F.min("rep").alias("centre"), F.count("*").alias("members")).where("members > 1")
+    # Only buckets that classes share go on; buckets of two are done with their one pair.
+    shared = written(bands.join(centres, "band_key"), "shared", release=True)
+    drop_written(bands)
+    first = shared.where("rep <> centre").selectExpr("centre a", "rep b").distinct()
+    shared = shared.where("members > 2").select("band_key", "rep")
     with_text = docs.select("doc_id", "text")
     done = _confirmed(written(_likely(first, narrow, share, num, den).distinct(), "pairs"), with_text, size, num, den)
-    most = 4
-    while True:
-        labels = components(done.where("linked"))
-        more = written(_across(bands, narrow, labels, done, share, most), "pairs")
-        if more.isEmpty():
-            break
-        done = written(done.union(_confirmed(more, with_text, size, num, den)), "confirmed")
-        most *= 8
+    labels = components(done.where("linked"))
+    dealt = written(_dealt(_prefixes(shared, labels, with_text, size, num, den), labels), "dealt", release=True)
+    likely = written(_likely_across(dealt, narrow, share), "likely", release=True)
+    pairs = written(likely.where("b is not null").select("a", "b").distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    if not pairs.isEmpty():
+        done = written(done.union(_confirmed(pairs, with_text, size, num, den)), "confirmed", release=True)
+    dense = dealt.join(likely.where("b is null").withColumnRenamed("a", "rep"), ["band_key", "x", "y", "rep"], "left_semi")
+    more = _links_across(dense, narrow, with_text, size, num, den)
+    done = written(done.union(more.withColumn("linked", F.lit(True))), "confirmed")
+    labels = components(done.where("linked"))
     links = done.where("linked").selectExpr("explode(array(a, b)) node").groupBy("node").agg(F.count("*").alias("n_links"))
     of_class = classes.select("set_key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(links.withColumnRenamed("node", "rep"), "rep", "left").selectExpr("set_key", "coalesce(component, rep) component", "n_links").dropDuplicates(["set_key"])
-    out = held.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(of_class, "set_key", "left")
-    return out.selectExpr("doc_id", "n n_shingles", "coalesce(component, doc_id) component_id", "doc_id <=> coalesce(component, doc_id) kept", "coalesce(n_links, 0L) n_links")
+    out = held.select("doc_id", "text_hash", "n", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(of_class, "set_key", "left")
+    return out.selectExpr("doc_id", "n n_shingles", "coalesce(component, doc_id) component_id", "doc_id <=> coalesce(component, doc_id) kept", "coalesce(n_links, 0L) n_links", "text_hash")
+
+
+def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The documents without all but the first of each component, with all their columns; of equal rows one stays."""
+    found = near_duplicates(docs, size, num, den)
+    rows = docs.withColumn("_hash", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("text_hash"))
+    gone = found.where("not kept").selectExpr("doc_id _id", "text_hash").distinct()
+    left = rows.join(gone, same, "left_anti")
+    several = written(found.where("kept and doc_id is not null and n_shingles > 0").groupBy("doc_id", "text_hash").count().where("count > 1").selectExpr("doc_id _id", "text_hash"), "several")
+    if not several.isEmpty():
+        left = left.join(several, same, "left_anti").unionByName(left.join(several, same, "left_semi").dropDuplicates(["doc_id", "_hash"]))
+    return left.select(*docs.columns)

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from hashwood.llm import op8_near_dedup as N
 
@@ -50,8 +51,10 @@ def corpus():
     return rows + [(1000, None), (1001, ""), (1002, " \t\n"), (None, texts[0]), (None, None)]
 
 
-def test_equals_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("sparse", [4, 0])
+def test_equals_brute_force(spark, monkeypatch, sparse):
     monkeypatch.setattr(N, "BLOCK", 7)
+    monkeypatch.setattr(N, "SPARSE", sparse)
     rows = corpus()
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, component_id string").repartition(4)
     for size, num, den in ((3, 85, 100), (5, 80, 100)):
