@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import mapped, texts
+from .common import mapped, mapped_texts, texts
 from .pieces import Memo, slices
 
 LONG_PIECE = 256
@@ -203,3 +203,14 @@ def round_trip(docs: DataFrame, ranks: str | None = None) -> DataFrame:
         return out | {"doc_id": batch.column(0)}
 
     return mapped(docs.select("doc_id", "text"), rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def tokens(docs: DataFrame, ranks: str | None = None) -> DataFrame:
+    """Per row: doc_id, n_tokens, ids, and the digest of the bytes that they decode to."""
+
+    def rows(batch: pa.RecordBatch) -> dict:
+        ids = coder(ranks).encode(texts(batch.column(1)))
+        decoded = coder(ranks).decode(ids)
+        return {"doc_id": batch.column(0), "n_tokens": [len(x) // 4 for x in ids], "ids": [np.frombuffer(x, "<u4").astype(np.int32) for x in ids], "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in decoded]}
+
+    return mapped_texts(docs.select("doc_id", "text"), rows, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
