@@ -1 +1 @@
-
+"""Page stores and the tables they are kept in."""
