@@ -26,10 +26,14 @@ from pyspark.sql import functions as F
 
 from .anchors import GRAM, LENGTH, Hashes, anchors
 from .common import BATCH_ROWS, arrow_schema, as_batch, drop_written, mapped, mapped_texts, written
+from .pieces import slices
 from .suffix import common_words, suffix_array
 
-FEW = 2000
-SHARD_BYTES = 2 << 20
+#: Surroundings of one anchor that a shard takes: 4 MB of them, for which it needs some 300 MB.
+FEW = (4 << 20) // (2 * LENGTH - GRAM)
+SHARD_BYTES = 1 << 20
+#: Bytes of text whose anchors are looked for at once; some 150 times as much memory.
+PASS_BYTES = 1 << 20
 #: Places of strings around an anchor that a shard looks at together.
 STEP = 20
 _U = np.uint64
@@ -58,6 +62,13 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
     def rows(batch: pa.RecordBatch) -> dict:
         raw = _raw(batch.column(1))
+        out = {k: [] for k in ("own", "places", "grams", "arounds", "more")}
+        for a, b in slices(raw, PASS_BYTES):
+            for k, v in part(raw[a:b]).items():
+                out[k] += v
+        return out | {"doc_id": batch.column(0), "text_hash": [_text_hash(x) for x in raw], "n": [len(x) for x in raw]}
+
+    def part(raw: list[bytes]) -> dict:
         starts = np.cumsum([0, *map(len, raw)])
         place, gram, around, low, high = anchors(np.frombuffer(b"".join(raw), np.uint8), starts)
         doc = np.searchsorted(starts, place, "right") - 1
@@ -75,11 +86,21 @@ def occurrences(docs: DataFrame) -> DataFrame:
             out["grams"].append(gram[once].astype(np.int64))
             out["arounds"].append(around[once].astype(np.int64))
             out["more"].append(several[first])
-        return out | {"doc_id": batch.column(0), "text_hash": [_text_hash(x) for x in raw], "n": [len(x) for x in raw]}
+        return out
 
     return mapped_texts(docs.select("doc_id", "text"), rows, "doc_id long, text_hash long, n int, own array<int>, places array<int>, grams array<long>, arounds array<long>, more array<boolean>")
 
 
+def _classes(gram: np.ndarray, first: Hashes, second: Hashes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Numbers for stretches, alike for those of equal gram and bytes."""
+    a, b = first(start, end) ^ gram.astype(_U), second(start, end) + gram.astype(_U)
+    order = np.lexsort((b, a))
+    new = np.concatenate([[False], (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])])[: len(order)]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
 def _shard(rows: list[tuple]) -> Iterator[tuple[int, int, int]]:
     """(row, start, end) of repeated strings. rows: gram, occurrence key, place, start of the surroundings, bytes, whether settled."""
     sizes = np.array([len(r[4]) for r in rows])
@@ -87,21 +108,31 @@ def _shard(rows: list[tuple]) -> Iterator[tuple[int, int, int]]:
     raw = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
     gram = np.array([r[0] for r in rows])
     anchor = np.array([r[2] - r[3] for r in rows])  # within the surroundings
+    settled = np.array([r[5] for r in rows])
+    begin = np.array([r[3] for r in rows])
     first, second = Hashes(raw, 0), Hashes(raw, 1)
     stretches = []
     for a in range(GRAM - LENGTH, 1, STEP):
         b = min(a + STEP - 1, 0)
         low, high = np.maximum(anchor + a, 0), np.minimum(anchor + b, sizes - LENGTH)
         on = np.flatnonzero(low <= high)
-        # All strings that begin there share this part; if it occurs nowhere else, none of them does.
-        inner, end = starts[on] + anchor[on] + b, starts[on] + anchor[on] + a + LENGTH
-        _, which, count = np.unique(np.stack([gram[on].astype(_U), first(inner, end), second(inner, end)], 1), axis=0, return_inverse=True, return_counts=True)
-        on = on[count[which.reshape(-1)] > 1]
-        stretches.append(np.stack([on, low[on], high[on] + LENGTH], 1))
+        # All strings that begin from low to high share the inner part; if that occurs nowhere else, none of them does.
+        inner = _classes(gram[on], first, second, starts[on] + anchor[on] + b, starts[on] + anchor[on] + a + LENGTH)
+        # If the whole occurs elsewhere, all of them do. The place of the anchor in it tells where they begin.
+        whole = _classes(gram[on] * 1000 + (anchor[on] - low[on]), first, second, starts[on] + low[on], starts[on] + high[on] + LENGTH)
+        again = np.bincount(whole)[whole] > 1
+        for i in on[again & ~settled[on]]:
+            yield int(i), int(begin[i] + low[i]), int(begin[i] + high[i]) + LENGTH
+        # One of each kind goes on, where an inner part has several kinds.
+        one = np.unique(whole, return_index=True)[1]
+        one = on[one[np.bincount(inner[one])[inner[one]] > 1]]
+        stretches.append(np.stack([one, low[one], high[one]], 1))
     spans = np.concatenate(stretches)
     if not len(spans):
         return
     spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
+    opens = np.concatenate([[True], (spans[1:, 0] != spans[:-1, 0]) | (spans[1:, 1] > spans[:-1, 2] + 1)])
+    spans = np.stack([spans[opens, 0], spans[opens, 1], spans[np.concatenate([opens[1:], [True]]), 2] + LENGTH], 1)
     row, low, high = spans.T
     length = high - low
     at = np.cumsum(length + 1) - (length + 1)
@@ -114,7 +145,6 @@ def _shard(rows: list[tuple]) -> Iterator[tuple[int, int, int]]:
     same = common_words(text, array, LENGTH // 8) >= LENGTH // 8
     # Where each suffix is in the corpus: stretches of one text may overlap.
     keys = np.unique(np.array([r[1] for r in rows]), return_inverse=True)[1]
-    begin = np.array([r[3] for r in rows])
     stretch = np.repeat(np.arange(len(row)), length + 1)
     offset = np.arange(len(text)) - at[stretch]
     where = (keys[row[stretch]].astype(np.int64) << 40) + begin[row[stretch]] + low[stretch] + offset
@@ -126,7 +156,6 @@ def _shard(rows: list[tuple]) -> Iterator[tuple[int, int, int]]:
     heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     spread = np.minimum.reduceat(where[ordered], heads) != np.maximum.reduceat(where[ordered], heads)
     repeated = ordered[np.repeat(spread, np.diff(np.append(heads, len(ordered))))]
-    settled = np.array([r[5] for r in rows])
     repeated = np.sort(repeated[~settled[row[stretch[repeated]]]])
     found_row = row[stretch[repeated]]
     found = begin[found_row] + low[stretch[repeated]] + offset[repeated]
@@ -222,6 +251,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         yield as_batch(out, schema)
 
     texts = docs.join(by_text.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "uid", "text_hash", "wanted")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "128")  # these are the longer texts, with long arrays
     contexts = written(texts.mapInArrow(cut, ddl), "contexts", release=True)
     few = _shards(contexts.where("not many"))
     strings = written(_strings(contexts.where("many")), "strings")

@@ -27,7 +27,7 @@ class Memo:
         return [b"".join(map(found, pieces)) for pieces in split]
 
 
-def slices(texts: list[str], chars: int = 1 << 21) -> list[tuple[int, int]]:
+def slices(texts: list[str] | list[bytes], chars: int = 1 << 21) -> list[tuple[int, int]]:
     """Ranges of texts that hold about so many characters, so that a batch of long texts isn't split up at once."""
     out, start, held = [], 0, 0
     for i, t in enumerate(texts):
