@@ -13,11 +13,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.encoding import ABSENT, digest, level_of, prefixed
-from ..sources.tables import written
+from ..sources.tables import hadoop_path, new_path, written
 from .spec import TreeSpec, text_of
 
 
@@ -41,17 +41,18 @@ def bounded(entries: DataFrame, spec: TreeSpec = TreeSpec()) -> DataFrame:
     # What each partition of a tree hands to the others: its last and first key above each level.
     edges = dealt.groupBy("tree", "part").agg(*[f(above(k)).alias(f"{n}{k}") for k in range(top + 1) for n, f in (("hi", F.max), ("lo", F.min))])
     left = Window.partitionBy("tree").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    right = Window.partitionBy("tree").orderBy("part").rowsBetween(1, Window.unboundedFollowing)
-    carry = edges.select("tree", "part", *[F.last(f"hi{k}", True).over(left).alias(f"in{k}") for k in range(top + 1)], *[F.first(f"lo{k}", True).over(right).alias(f"out{k}") for k in range(top + 1)])
+    right = Window.partitionBy("tree").orderBy(F.col("part").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carry = edges.select("tree", "part", *[F.last(f"hi{k}", True).over(left).alias(f"in{k}") for k in range(top + 1)], *[F.last(f"lo{k}", True).over(right).alias(f"out{k}") for k in range(top + 1)])
     # A partition has rows of a few trees; each is a group of its own.
     behind = Window.partitionBy("tree", "part").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.partitionBy("tree", "part").orderBy("ord").rowsBetween(1, Window.unboundedFollowing)
+    # Frames that end behind the row are kept up as it moves; one that began ahead would be gone through for every row.
+    ahead = Window.partitionBy("tree", "part").orderBy(F.col("ord").desc()).rowsBetween(Window.unboundedPreceding, -1)
     own = dealt.join(carry, ["tree", "part"])
     pick = lambda of: reduce(lambda rest, k: F.when(F.col("level") == k, of(k)).otherwise(rest), range(top, -1, -1), F.lit(None))
     return own.withColumns(
         {
             "before": pick(lambda k: F.coalesce(F.last(above(k), True).over(behind), F.col(f"in{k}"))),
-            "after": pick(lambda k: F.coalesce(F.first(above(k), True).over(ahead), F.col(f"out{k}"))),
+            "after": pick(lambda k: F.coalesce(F.last(above(k), True).over(ahead), F.col(f"out{k}"))),
         }
     ).select(*dealt.columns, "before", "after")
 
@@ -68,15 +69,24 @@ def outline(entries: DataFrame, spec: TreeSpec = TreeSpec()) -> DataFrame:
     return rows.groupBy("tree", "level", F.col("before.key").alias("before_key"), F.col("after.key").alias("after_key")).agg(F.min_by("key", "ord").alias("first_key"), F.max_by("key", "ord").alias("last_key"), F.count("*").alias("n_entries"))
 
 
+def levels_in(spark: SparkSession, path: str) -> list[int]:
+    """Levels that a table partitioned by them has: as many as a digest has digits at most."""
+    system, target = hadoop_path(spark, path)
+    names = [s.getPath().getName() for s in system.listStatus(target)]
+    return sorted(int(n.removeprefix("level=")) for n in names if n.startswith("level=") and n[6:].isdigit())
+
+
 def pages(entries: DataFrame, spec: TreeSpec = TreeSpec()) -> DataFrame:
     """One row per page: tree, hash, level, low, entries array<struct<ord, key, value, next>>, first_key, low_of, after_key.
 
     Hashes come bottom-up, one round per level; a round reads the keys of its level only, a sixteenth of the level below.
     """
-    rows = written(slots(bounded(entries, spec)).select("tree", "key", "value", "key_text", "value_text", "level", "ord", "low_of", "after_key", F.col("before.key").alias("page")), "slots")
-    levels = sorted(r[0] for r in rows.select("level").distinct().collect())  # as many as a digest has digits at most
+    found = slots(bounded(entries, spec)).select("tree", "key", "value", "key_text", "value_text", "level", "ord", "low_of", "after_key", F.col("before.key").alias("page"))
+    path = new_path(entries.sparkSession, "slots")
+    found.write.partitionBy("level").parquet(path)  # a round reads its level's directory
+    rows = entries.sparkSession.read.schema(found.schema).parquet(path)
     done: list[DataFrame] = []
-    for k in levels:
+    for k in levels_in(entries.sparkSession, path):
         here = rows.where(F.col("level") == k)
         if done:
             below = reduce(DataFrame.unionByName, done).select("tree", "hash", "low_of", "after_key")
@@ -93,7 +103,7 @@ def pages(entries: DataFrame, spec: TreeSpec = TreeSpec()) -> DataFrame:
         plain = F.transform("members", lambda m: F.struct(m["ord"].alias("ord"), m["key"].alias("key"), m["value"].alias("value"), m["next"].alias("next")))
         done.append(written(made.select("tree", digest(body, spec.algorithm).alias("hash"), "level", "low", plain.alias("entries"), F.expr("members[0].key").alias("first_key"), "low_of", "after_key"), f"pages-{k}"))
     if not done:
-        kind = rows.schema
+        kind = found.schema
         return rows.sparkSession.createDataFrame([], f"tree {kind['tree'].dataType.simpleString()}, hash string, level int, low string, entries array<struct<ord:{kind['ord'].dataType.simpleString()},key:{kind['key'].dataType.simpleString()},value:{kind['value'].dataType.simpleString()},next:string>>, first_key {kind['key'].dataType.simpleString()}, low_of {kind['key'].dataType.simpleString()}, after_key {kind['key'].dataType.simpleString()}")
     return reduce(DataFrame.unionByName, done)
 
