@@ -1,4 +1,4 @@
-"""Each registered tree query against its oracle, on the smallest tables."""
+"""Each registered tree query against its oracle, on small tables."""
 
 import duckdb
 import pandas as pd
@@ -6,8 +6,8 @@ import pytest
 
 from hashwood.plans import catalogue
 
-SF = "/root/testdata/sf0.001"
-SLOW = {"grove_online", "grove_bidirectional"}
+SF = "/root/testdata/sf0.01"
+SLOW = {"grove_online", "grove_bidirectional", "grove_anti_entropy"}  # test_replicas.py has their scenarios
 
 
 @pytest.fixture(scope="module")
