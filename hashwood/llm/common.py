@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import itertools
 import tempfile
 import uuid
@@ -49,6 +50,7 @@ def written(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     if release:
+        gc.collect()  # Python's proxies keep the JVM's plans
         df.sparkSession._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

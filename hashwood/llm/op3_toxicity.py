@@ -18,6 +18,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Iterator
@@ -35,9 +36,10 @@ DISCOUNT = 0.75
 THRESHOLD = 0.3
 FIT_ROWS = 20_000
 BROADCAST_LABELS = 2_000_000
-MEMO_WORDS = 500_000
+MEMO_WORDS = 150_000
 HELD_COUNTS = 200_000
 FEATURES = 8
+NAMES = [f"{kind}{m}" for m in range(1, ORDER) for kind in "ght"] + [f"{kind}{ORDER}_{k}" for kind in "ght" for k in (0, 1)]
 START, END = "\x02", "\x03"
 #: Bits of a level's tables.
 BITS = {1: 12, 2: 16, 3: 18, 4: 19, 5: 20, 6: 20}
@@ -63,20 +65,25 @@ def _codes(grams: list[str]) -> np.ndarray:
 
 
 class Model:
-    """Tables by name: 'g6_0' counts of class 0, 'h6_0' and 't6_0' counts and kinds after a history, 'g5' and so on for shared continuations."""
+    """Tables by name: 'g6_0' counts of class 0, 'h6_0' and 't6_0' counts and kinds after a history, 'g5' and so on for shared continuations.
 
-    def __init__(self, tables: dict[str, np.ndarray]):
-        self.tables = tables
+    They travel as places and values, since most places are empty, and are filled in where they are used.
+    """
 
-    def __getstate__(self) -> dict:
-        # Most places are empty: workers get the others.
-        return {name: (len(t), np.flatnonzero(t).astype(np.int32), t[t != 0]) for name, t in self.tables.items()}
+    def __init__(self, filled: dict[str, tuple[np.ndarray, np.ndarray]]):
+        self.filled = filled
+
+    @functools.cached_property
+    def tables(self) -> dict[str, np.ndarray]:
+        out = {}
+        for name in NAMES:
+            out[name] = np.zeros(1 << BITS[int(name[1])], np.float32)
+            place, values = self.filled.get(name, (0, 0))
+            out[name][place] = values
+        return out | {"all": np.array([out["g1"].sum()], np.float64)}
 
-    def __setstate__(self, state: dict) -> None:
-        self.tables = {}
-        for name, (size, place, values) in state.items():
-            self.tables[name] = np.zeros(size, values.dtype)
-            self.tables[name][place] = values
+    def __getstate__(self) -> dict:
+        return {"filled": self.filled}
 
     def evidence(self, batch: list[str]) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary)."""
@@ -170,23 +177,22 @@ def learn(labelled: DataFrame) -> Model | None:
         for name in np.unique(names):
             on = np.flatnonzero(names == name)
             slot[on] = _slots(_codes([strings[i] for i in on]), BITS[int(name[1])])
-        return {"name": batch.column(0), "slot": slot, "n": batch.column(2)}
+        return {"name": [NAMES.index(x) for x in batch.column(0).to_pylist()], "slot": slot, "n": batch.column(2)}
 
     every = parts[0]
     for part in parts[1:]:
         every = every.union(part)
     # At most as many rows as the tables have places, whatever the corpus holds.
-    sums = mapped(every, rows, "name string, slot int, n long").groupBy("name", "slot").agg(F.sum("n").alias("n")).toArrow()
-    tables = {f"{kind}{m}": np.zeros(1 << BITS[m], np.float32) for m in range(1, ORDER) for kind in "ght"}
-    tables |= {f"{kind}{ORDER}_{k}": np.zeros(1 << BITS[ORDER], np.float32) for kind in "ght" for k in (0, 1)}
+    sums = mapped(every, rows, "name byte, slot int, n long").groupBy("name", "slot").agg(F.sum("n").alias("n")).toArrow()
     names, slots, counts = (sums[c].to_numpy() for c in ("name", "slot", "n"))
-    for name in np.unique(names.astype(str)):
-        on = names == name
-        tables[name][slots[on]] = counts[on]
-    tables["all"] = np.array([tables["g1"].sum()], np.float64)
+    filled = {}
+    for i, name in enumerate(NAMES):
+        on = np.flatnonzero((names == i) & (counts > 0))
+        if len(on):
+            filled[name] = slots[on].astype(np.int32), counts[on].astype(np.float32)
     for table in (kinds, grams):
         drop_written(table)
-    return Model(tables) if tables["g6_0"].any() and tables["g6_1"].any() else None
+    return Model(filled) if f"g{ORDER}_0" in filled and f"g{ORDER}_1" in filled else None
 
 
 def features(known: dict, model: Model, batch: list[str]) -> np.ndarray:
@@ -239,7 +245,7 @@ class Scorer:
 
     def features(self, batch: list[str]) -> np.ndarray:
         known = self.__dict__.setdefault("known", {})
-        parts = [features(known, self.model, batch[a:b]) for a, b in slices(batch)]
+        parts = [features(known, self.model, batch[a:b]) for a, b in slices(batch, 1 << 20)]
         return np.concatenate(parts) if parts else np.zeros((0, FEATURES))
 
     def __getstate__(self):

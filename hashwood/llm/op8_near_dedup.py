@@ -39,7 +39,7 @@ BANDS = BUCKETS // BAND_ROWS
 COLLISION = 2.0**-MANTISSA / 3
 #: An estimate so many standard deviations below the threshold is still confirmed on full sets.
 SIGMAS = 5
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 BLOCK = 500
 #: Likely pairs per member up to which a block passes them on one by one.
 SPARSE = 4
