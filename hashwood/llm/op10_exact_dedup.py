@@ -253,12 +253,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     texts = docs.join(by_text.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "uid", "text_hash", "wanted")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "128")  # these are the longer texts, with long arrays
     contexts = written(texts.mapInArrow(cut, ddl), "contexts", release=True)
-    few = _shards(contexts.where("not many"))
+    few = written(_shards(contexts.where("not many")), "few", release=True)
     strings = written(_strings(contexts.where("many")), "strings")
     # One place can come by several anchors: only another one counts.
     ends = [f(k).alias(f"{name}_{k}") for k in ("uid", "start") for name, f in (("lo", F.min), ("hi", F.max))]
     again = strings.groupBy("a", "b").agg(*ends, F.max("settled").alias("s")).where("lo_uid < hi_uid or lo_start < hi_start or s").select("a", "b")
-    many = strings.where("not settled").join(again, ["a", "b"]).selectExpr("uid", "start", f"start + {LENGTH} end")
+    many = written(strings.where("not settled").join(again, ["a", "b"]).selectExpr("uid", "start", f"start + {LENGTH} end"), "many", release=True)
+    for table in (contexts, strings):
+        drop_written(table)
     own = seen.where("size(own) > 0").select("uid", F.expr("inline(transform(sequence(0, size(own) div 2 - 1), i -> struct(own[2 * i] as start, own[2 * i + 1] as end)))"))
     spans = settled.union(few).union(many).union(own)
     gathered = spans.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans")).join(seen.select("uid", "doc_id", "text_hash", "n"), "uid")
@@ -271,7 +273,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         return {"doc_id": batch.column(0), "text_hash": batch.column(1), "spans": out}
 
     result = written(mapped(gathered.select("doc_id", "text_hash", "spans", "n"), join_spans, "doc_id long, text_hash long, spans array<int>").dropDuplicates(["doc_id", "text_hash"]), "spans", release=True)
-    for table in (seen, found, kinds, contexts, strings):
+    for table in (seen, found, kinds, few, many):
         drop_written(table)
     return result
 
