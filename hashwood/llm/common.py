@@ -111,6 +111,19 @@ def texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def only(name: str, forget: Callable[[], None]) -> None:
+    """Drops what other operators still remember in this Python worker; forget drops what this one will.
+
+    Workers are used again by later stages, so without this each operator's memo would add to the next one's.
+    """
+    for other in [k for k in _HELD if k != name]:
+        _HELD.pop(other)()
+    _HELD[name] = forget
+
+
 def blocks(rows: Iterator, size: int) -> Iterator[list]:
     while block := list(itertools.islice(rows, size)):
         yield block

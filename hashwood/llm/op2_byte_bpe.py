@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import mapped, mapped_texts, texts
+from .common import mapped, mapped_texts, only, texts
 from .pieces import Memo, slices
 
 LONG_PIECE = 256
@@ -163,6 +163,7 @@ def coder(path: str | None = None) -> Coder:
     import public_tokenizers
 
     path = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    only("op2", _CODERS.clear)
     if path not in _CODERS:
         _CODERS[path] = Coder(path)
     return _CODERS[path]

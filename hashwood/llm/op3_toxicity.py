@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, arrow_schema, as_batch, drop_written, mapped, texts, written
+from .common import BATCH_ROWS, arrow_schema, as_batch, drop_written, mapped, only, texts, written
 from .pieces import slices
 
 ORDER = 6
@@ -134,6 +134,7 @@ def gather(docs: DataFrame, one: str, count) -> DataFrame:
 
 
 def _count_words(held: dict, batch: pa.RecordBatch) -> None:
+    only("op3", dict)
     for text, toxic in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
         for w in words(text):
             if (pair := held.get(w)) is None:
@@ -245,6 +246,7 @@ class Scorer:
 
     def features(self, batch: list[str]) -> np.ndarray:
         known = self.__dict__.setdefault("known", {})
+        only("op3", known.clear)
         parts = [features(known, self.model, batch[a:b]) for a, b in slices(batch, 1 << 20)]
         return np.concatenate(parts) if parts else np.zeros((0, FEATURES))
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, arrow_schema, as_batch, drop_written, mapped, mapped_texts, texts, written
+from .common import BATCH_ROWS, arrow_schema, as_batch, drop_written, mapped, mapped_texts, only, texts, written
 from .components import components
 
 BUCKETS, MANTISSA = 256, 10
@@ -65,6 +65,7 @@ def shingles(text: str, size: int) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, _U)
+    only("op8", _WORDS.clear)
     if len(_WORDS) > MEMO_WORDS:
         _WORDS.clear()
     known, hashes = _WORDS, []
