@@ -7,8 +7,8 @@ over its words with the three strongest, and a logistic curve turns that into th
 
 Labels of documents whose crc32(doc_id as text) mod 4 is 2 are never read. The curve is fitted to the evidence that counts
 of all labelled rows with 0 or 1 there give for those with 3, at most FIT_ROWS, drawn by a hash of doc_id. Then counts are
-taken anew over all three. They are hashed into tables of fixed size, so that what workers get is at most 60 MB however
-many letter groups there are.
+taken anew over all three. Every distinct letter group has a count of its own, by its 64-bit hash, so that what workers
+get grows with the distinct groups: 16 bytes for each and 24 for each history.
 
 Defined results: a null or empty text, or one without words, has no evidence and gets the curve's value at none; rows are
 scored one by one, so repeats and ties stay; a null doc_id is scored but not learned from; of several labels of a doc_id
@@ -39,10 +39,10 @@ BROADCAST_LABELS = 2_000_000
 MEMO_WORDS = 150_000
 HELD_COUNTS = 200_000
 FEATURES = 8
-NAMES = [f"{kind}{m}" for m in range(1, ORDER) for kind in "ght"] + [f"{kind}{ORDER}_{k}" for kind in "ght" for k in (0, 1)]
+NAMES = [f"{kind}{m}" for m in range(1, ORDER) for kind in "gh"] + [f"{kind}{ORDER}_{k}" for kind in "gh" for k in (0, 1)]
 START, END = "\x02", "\x03"
-#: Bits of a level's tables.
-BITS = {1: 12, 2: 16, 3: 18, 4: 19, 5: 20, 6: 20}
+#: Bits of the number of letters that the lowest level takes for possible.
+BITS = {1: 12}
 WORDS = re.compile(r"[^\W\d_]+").findall
 _U = np.uint64
 
@@ -51,13 +51,13 @@ def words(text: str) -> list[str]:
     return WORDS(text.lower())
 
 
-def _slots(codes: np.ndarray, bits: int) -> np.ndarray:
-    """Places in a table for rows of code points."""
+def _keys(codes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of rows of code points."""
     h = np.full(len(codes), codes.shape[1], _U)
     for i in range(codes.shape[1]):
         h = (h * _U(0x9E3779B97F4A7C15)) ^ codes[:, i]
         h = (h ^ (h >> _U(29))) * _U(0xBF58476D1CE4E5B9)
-    return ((h ^ (h >> _U(32))) >> _U(64 - bits - 8) & _U((1 << bits) - 1)).astype(np.int64)
+    return h ^ (h >> _U(32))
 
 
 def _codes(grams: list[str]) -> np.ndarray:
@@ -65,25 +65,22 @@ def _codes(grams: list[str]) -> np.ndarray:
 
 
 class Model:
-    """Tables by name: 'g6_0' counts of class 0, 'h6_0' and 't6_0' counts and kinds after a history, 'g5' and so on for shared continuations.
+    """Tables by name: 'g6_0' counts of class 0, 'h6_0' counts and kinds after a history, 'g5' and so on for shared continuations.
 
-    They travel as places and values, since most places are empty, and are filled in where they are used.
+    A table has the ascending keys of its groups and a column of counts, those of histories one of kinds too.
     """
 
-    def __init__(self, filled: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.filled = filled
+    def __init__(self, tables: dict[str, tuple[np.ndarray, ...]]):
+        self.tables = tables
 
-    @functools.cached_property
-    def tables(self) -> dict[str, np.ndarray]:
-        out = {}
-        for name in NAMES:
-            out[name] = np.zeros(1 << BITS[int(name[1])], np.float32)
-            place, values = self.filled.get(name, (0, 0))
-            out[name][place] = values
-        return out | {"all": np.array([out["g1"].sum()], np.float64)}
-
-    def __getstate__(self) -> dict:
-        return {"filled": self.filled}
+    def _at(self, name: str, keys: np.ndarray) -> list[np.ndarray]:
+        """The columns of a table for keys, 0 for one that it doesn't have."""
+        if name not in self.tables:
+            return [np.zeros(len(keys))] * 2
+        held, *columns = self.tables[name]
+        at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
+        found = held[at] == keys
+        return [np.where(found, c[at], 0) for c in columns]
 
     def evidence(self, batch: list[str]) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary)."""
@@ -96,13 +93,15 @@ class Model:
             first[starts + i] = False
         at = np.flatnonzero(first)
         grams = codes[at[:, None] + np.arange(1 - ORDER, 1)]
-        t = self.tables
-        shared = (t["g1"][_slots(grams[:, -1:], BITS[1])] + 0.5) / (t["all"][0] + 0.5 * (1 << BITS[1]))
+        # Most groups are in many words of a batch, and ascending keys are found faster.
+        keys, back = zip(*(np.unique(_keys(grams[:, -m:]), return_inverse=True) for m in range(1, ORDER + 1)), strict=True)
+        histories, behind = zip(*(np.unique(_keys(grams[:, -m:-1]), return_inverse=True) for m in range(2, ORDER + 1)), strict=True)
+        seen = lambda name, m: self._at(name, keys[m - 1])[0][back[m - 1]]
+        after = lambda name, m: (c[behind[m - 2]] for c in self._at(name, histories[m - 2]))
+        shared = (seen("g1", 1) + 0.5) / (self.tables["g1"][1].sum() + 0.5 * (1 << BITS[1]))
         for m in range(2, ORDER):
-            seen, history = t[f"g{m}"][_slots(grams[:, -m:], BITS[m])], _slots(grams[:, -m:-1], BITS[m])
-            shared = self._level(seen, t[f"h{m}"][history], t[f"t{m}"][history], shared)
-        slot, history = _slots(grams, BITS[ORDER]), _slots(grams[:, :-1], BITS[ORDER])
-        logs = [np.log(self._level(t[f"g{ORDER}_{k}"][slot], t[f"h{ORDER}_{k}"][history], t[f"t{ORDER}_{k}"][history], shared)) for k in (1, 0)]
+            shared = self._level(seen(f"g{m}", m), *after(f"h{m}", m), shared)
+        logs = [np.log(self._level(seen(f"g{ORDER}_{k}", ORDER), *after(f"h{ORDER}_{k}", ORDER), shared)) for k in (1, 0)]
         ends = np.searchsorted(at, starts)
         return np.add.reduceat(logs[0] - logs[1], ends)
 
@@ -158,42 +157,44 @@ def learn(labelled: DataFrame) -> Model | None:
     """The model from rows (text, toxic 0 or 1); None without both classes."""
     kinds = written(gather(labelled.select("text", "toxic"), "word", _count_words), "words")
     grams = written(gather(kinds, "gram", _count_grams), "grams")
-    parts = [grams.selectExpr("'g6_0' name", "gram", "n0 n"), grams.selectExpr("'g6_1' name", "gram", "n1 n")]
+    part = lambda name, df, gram, n: df.selectExpr(f"{NAMES.index(name)}Y name", f"{gram} gram", f"{n} n")
+    parts = []
     for k in (0, 1):
-        seen = grams.where(f"n{k} > 0").selectExpr("left(gram, 5) gram", f"n{k} n")
-        parts += [seen.selectExpr(f"'h6_{k}' name", "gram", "n"), seen.selectExpr(f"'t6_{k}' name", "gram", "1L n")]
+        seen = grams.where(f"n{k} > 0")
+        parts += [part(f"g{ORDER}_{k}", seen, "gram", f"n{k}"), part(f"h{ORDER}_{k}", seen, f"left(gram, {ORDER - 1})", f"n{k}")]
     longer = grams.select("gram")
     for m in range(ORDER - 1, 0, -1):
         # Kinds of letters before a group of m: distinct groups of m + 1 that end with it.
         shared = longer.groupBy(F.expr(f"right(gram, {m})").alias("gram")).agg(F.count("*").alias("n"))
-        parts.append(shared.selectExpr(f"'g{m}' name", "gram", "n"))
+        parts.append(part(f"g{m}", shared, "gram", "n"))
         if m > 1:
-            history = shared.selectExpr(f"left(gram, {m - 1}) gram", "n")
-            parts += [history.selectExpr(f"'h{m}' name", "gram", "n"), history.selectExpr(f"'t{m}' name", "gram", "1L n")]
+            parts.append(part(f"h{m}", shared, f"left(gram, {m - 1})", "n"))
         longer = shared.select("gram")
 
     def rows(batch: pa.RecordBatch) -> dict:
-        names, strings = np.array(batch.column(0).to_pylist()), batch.column(1).to_pylist()
-        slot = np.zeros(len(strings), np.int64)
+        names, strings = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+        key = np.zeros(len(strings), _U)
         for name in np.unique(names):
             on = np.flatnonzero(names == name)
-            slot[on] = _slots(_codes([strings[i] for i in on]), BITS[int(name[1])])
-        return {"name": [NAMES.index(x) for x in batch.column(0).to_pylist()], "slot": slot, "n": batch.column(2)}
+            key[on] = _keys(_codes([strings[i] for i in on]))
+        return {"name": batch.column(0), "key": key.view(np.int64), "n": batch.column(2)}
 
     every = parts[0]
-    for part in parts[1:]:
-        every = every.union(part)
-    # At most as many rows as the tables have places, whatever the corpus holds.
-    sums = mapped(every, rows, "name byte, slot int, n long").groupBy("name", "slot").agg(F.sum("n").alias("n")).toArrow()
-    names, slots, counts = (sums[c].to_numpy() for c in ("name", "slot", "n"))
-    filled = {}
+    for other in parts[1:]:
+        every = every.union(other)
+    # A history comes once for each letter after it, so that its rows are its kinds.
+    sums = mapped(every, rows, "name byte, key long, n long").groupBy("name", "key").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toArrow()
+    names, keys = sums["name"].to_numpy(), sums["key"].to_numpy().view(_U)
+    counts, several = (sums[c].to_numpy().astype(np.float64) for c in ("n", "kinds"))
+    tables = {}
     for i, name in enumerate(NAMES):
-        on = np.flatnonzero((names == i) & (counts > 0))
+        on = np.flatnonzero(names == i)
         if len(on):
-            filled[name] = slots[on].astype(np.int32), counts[on].astype(np.float32)
+            on = on[np.argsort(keys[on])]
+            tables[name] = (keys[on], counts[on], several[on]) if name[0] == "h" else (keys[on], counts[on])
     for table in (kinds, grams):
         drop_written(table)
-    return Model(filled) if f"g{ORDER}_0" in filled and f"g{ORDER}_1" in filled else None
+    return Model(tables) if f"g{ORDER}_0" in tables and f"g{ORDER}_1" in tables else None
 
 
 def features(known: dict, model: Model, batch: list[str]) -> np.ndarray:

@@ -46,6 +46,17 @@ def test_model_equals_dictionaries(spark):
     assert np.allclose(model.evidence(batch), [plain_evidence(docs, w) for w in batch], atol=1e-3)
 
 
+def test_groups_never_share_a_count(spark):
+    rng = np.random.default_rng(3)
+    made = ["".join(map(chr, 97 + rng.integers(0, 26, 8))) for _ in range(20_000)]
+    docs = [(" ".join(made[i : i + 100]), int(i % 1000 == 0)) for i in range(0, len(made), 100)]
+    model = T.learn(spark.createDataFrame(docs, "text string, toxic int"))
+    batch = [*made[:4], made[100], "unseen"]
+    assert np.allclose(model.evidence(batch), [plain_evidence(docs, w) for w in batch], atol=1e-6)
+    grams = [{g for text, toxic in docs if toxic == k for w in text.split() for p in [T.START * 5 + w + T.END] for g in (p[i : i + 6] for i in range(len(p) - 5))} for k in (0, 1)]
+    assert [len(model.tables[f"g6_{k}"][0]) for k in (0, 1)] == [len(g) for g in grams]
+
+
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = {r.doc_id: r for r in T.toxicity(docs, labels).collect()}
