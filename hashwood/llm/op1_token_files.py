@@ -62,8 +62,8 @@ def encoder(path: str | None):
     """Texts to ids as bytes.
 
     Plain Latin texts are split into pieces here, and the library's model gets each distinct piece once. Others, in which
-    classes of letters or spaces could differ between libraries, go to the library whole, as all do with a tokenizer of
-    another kind.
+    classes of letters or spaces could differ between libraries, go to the library whole, as do those that hold an added
+    token's content and all with a tokenizer of another kind.
     """
     path = path or default_tokenizer()
     if path not in _MEMO:
@@ -71,19 +71,19 @@ def encoder(path: str | None):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
         parts = json.loads(tokenizer.to_str())
         split = parts["pre_tokenizer"] or {}
         bytewise = (parts["model"]["type"], parts["normalizer"], split.get("type"), split.get("use_regex"), split.get("add_prefix_space")) == ("BPE", None, "ByteLevel", True, False)
-        _MEMO[path] = tokenizer, Known(tokenizer.model) if bytewise else None
-    tokenizer, known = _MEMO[path]
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        _MEMO[path] = tokenizer, Known(tokenizer.model) if bytewise else None, added
+    tokenizer, known, added = _MEMO[path]
 
     def encode(batch: list[str]) -> list[bytes]:
         if known is not None and len(known) > MEMO_PIECES:
             known.clear()
         out = []
         for text in batch:
-            if known is None or ODD(text):
+            if known is None or ODD(text) or any(x in text for x in added):
                 out.append(array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
             else:
                 out.append(b"".join(map(known.__getitem__, PIECES(text))))

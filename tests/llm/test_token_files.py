@@ -49,3 +49,9 @@ def test_files(spark, monkeypatch, block):
     got = sorted((tuple(r) for r in O.token_files(docs).collect()), key=lambda r: r[1])
     assert got == expected(rows)
     assert O.token_files(docs.limit(0)).count() == 0
+
+
+def test_added_tokens_have_their_own_id(spark):
+    rows = [(0, "a <|endoftext|> b"), (1, "<|endoftext|><|endoftext|>"), (2, "é<|endoftext|>語"), (3, "a <|endoftext |> b"), (4, "plain")]
+    got = sorted((tuple(r) for r in O.token_files(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=lambda r: r[1])
+    assert got == expected(rows) and got[0][2] == 5
