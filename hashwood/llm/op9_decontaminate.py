@@ -2,8 +2,8 @@
 
 A shard is some megabytes of whole documents as numbers of benchmark words; a word that no benchmark item has ends a
 suffix, since no match can run over it. The shard's suffix array is sorted by doubling ranks. Every benchmark suffix,
-cut to its window, is binary-searched in it, which gives all places of its verbatim matches; matches that go on along
-one diagonal add up to the longest.
+cut to its window, is binary-searched in it, which gives all places of its verbatim matches. The longest match of a
+document is the longest run of words that it shares with one text of an item it hits, by ranks that double.
 
 The benchmark goes to the workers in blocks of BLOCK_BYTES text at most. With more than one block, documents pass once
 per block, and what the passes found is carried in a written table.
@@ -42,10 +42,14 @@ class Items:
     def __init__(self, rows: list[tuple[str, str]], window: int = WINDOW):
         self.window, self.numbers, self.ids = window, {}, sorted({key for key, _ in rows})
         place, found = {key: i for i, key in enumerate(self.ids)}, {}
+        #: Texts of at least a window by item.
+        self.long: dict[int, list[np.ndarray]] = {}
         for key, text in rows:
             item = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words(text)]
             for i in range(max(1, len(item) - window + 1) if item else 0):
                 found.setdefault(tuple(item[i : i + window]), set()).add(place[key])
+            if len(item) >= window:
+                self.long.setdefault(place[key], []).append(np.array(item, np.uint32))
         self.lengths = np.array([len(w) for w in found], np.int64)
         low, high = np.zeros((len(found), window), ">u4"), np.full((len(found), window), 0xFFFFFFFF, ">u4")
         for i, w in enumerate(found):
@@ -61,11 +65,45 @@ def as_keys(rows: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(rows).view(f"S{rows.shape[1] * 4}").reshape(len(rows))
 
 
+def words_left(ids: np.ndarray) -> np.ndarray:
+    """Words from each position up to the next 0."""
+    at = np.arange(len(ids))
+    return np.minimum.accumulate(np.where(ids == 0, at, len(ids))[::-1])[::-1] - at
+
+
+def longest_shared(doc: np.ndarray, rows: list[np.ndarray]) -> int:
+    """Words of the longest run that doc and some row have in common; a 0 is no word."""
+    ids = np.concatenate([x for part in (doc, *rows) for x in (part.astype(np.int64), np.zeros(1, np.int64))])
+    left, ours, ranks = words_left(ids), np.arange(len(ids)) < len(doc), ids
+
+    def keys(size: int, half: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions that begin so many words, and what tells these apart: the ranks of their first and last half words."""
+        place = np.flatnonzero(left >= size)
+        return place, ranks[place] << 32 | ranks[place + size - half]
+
+    def shared(size: int, half: int) -> bool:
+        place, key = keys(size, half)
+        return bool(np.isin(key[ours[place]], key[~ours[place]]).any())
+
+    if not shared(1, 1):
+        return 0
+    low = 1
+    while shared(2 * low, low):
+        place, key = keys(2 * low, low)
+        ranks = np.zeros(len(ids), np.int64)
+        ranks[place] = np.unique(key, return_inverse=True)[1]
+        low *= 2
+    half, high = low, 2 * low
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if shared(middle, half) else (low, middle)
+    return low
+
+
 def suffix_array(ids: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts of the suffixes of at least so many words, sorted, and the words left at each position up to the next 0."""
     n = len(ids)
-    at = np.arange(n)
-    left = np.minimum.accumulate(np.where(ids == 0, at, n)[::-1])[::-1] - at
+    left = words_left(ids)
     begins = np.flatnonzero((ids != 0) & (np.concatenate([[0], ids[:-1]]) == 0))
     in_long = np.zeros(n + 1, np.int64)
     long = begins[left[begins] >= least]
@@ -90,8 +128,8 @@ def suffix_array(ids: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return place[np.argsort(rank[place], kind="stable")], left
 
 
-def search(items: Items, docs: list[list[bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """Per document: which words are hit, the items found (places in items.ids), words in the longest match."""
+def search(items: Items, docs: list[list[bytes]], measure: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Per document: which words are hit, the items found (places in items.ids), words in the longest match if measured."""
     number = items.numbers.get
     ids = np.fromiter((number(w, 0) for doc in docs for w in (*doc, b"")), np.int64)
     starts = np.cumsum([0, *(len(d) + 1 for d in docs)])
@@ -110,19 +148,22 @@ def search(items: Items, docs: list[list[bytes]]) -> Iterator[tuple[np.ndarray,
     np.add.at(cover, place, 1)
     np.add.at(cover, place + items.lengths[window], -1)
     hit = np.cumsum(cover[:-1]) > 0
-    # A match goes on where a window of the same item begins one word on; runs of starts stand for it.
     doc = np.searchsorted(starts, place, "right") - 1
     pairs = np.unique(np.stack([doc, window], 1), axis=0)
     sizes = np.diff(items.item_ends)[pairs[:, 1]]
     which = items.items[np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(items.item_ends[pairs[:, 1]], sizes)]
     found = np.unique(np.stack([np.repeat(pairs[:, 0], sizes), which], 1), axis=0)
-    bounds = np.searchsorted(found[:, 0], np.arange(len(docs) + 1))
+    bounds, windows = (np.searchsorted(x[:, 0], np.arange(len(docs) + 1)) for x in (found, pairs))
     for i, d in enumerate(docs):
         mask = hit[starts[i] : starts[i] + len(d)]
         longest = 0
-        if bounds[i] < bounds[i + 1]:
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
-            longest = int((edges[1::2] - edges[::2]).max())
+        if measure and bounds[i] < bounds[i + 1]:
+            longest = int(items.lengths[pairs[windows[i] : windows[i + 1], 1]].max())
+            runs = np.array(runs_of(mask))
+            # Only items of at least a window go on behind it, and no match is longer than the words hit around it.
+            if longest == items.window < (runs[1::2] - runs[::2]).max():
+                rows = [x for j in found[bounds[i] : bounds[i + 1], 1] for x in items.long.get(int(j), ())]
+                longest = longest_shared(np.where(mask, ids[starts[i] : starts[i] + len(d)], 0), rows)
         yield mask, found[bounds[i] : bounds[i + 1], 1], longest
 
 
@@ -214,7 +255,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
 
         def run(batches: Iterator[pa.RecordBatch], broadcast=broadcast, cache={}) -> Iterator[pa.RecordBatch]:  # noqa: B006
             for batch, words_of in shards(batches, at):
-                clean = [not mask.any() for mask, _, _ in search(_compiled(cache, broadcast), words_of)]
+                clean = [not mask.any() for mask, _, _ in search(_compiled(cache, broadcast), words_of, measure=False)]
                 if any(clean):
                     yield batch.filter(pa.array(clean))
 

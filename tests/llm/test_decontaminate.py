@@ -48,6 +48,28 @@ def test_equals_brute_force(spark, limit):
     assert sorted((r.doc_id for r in clean.collect()), key=str) == sorted((k for k, t in rows if not brute(t, items)[4]), key=str)
 
 
+def longest(doc, items, window=10):
+    words, most = split(doc), 0
+    for item in (split(text) for _, text in items):
+        for i in range(len(item)):
+            for j in range(len(words)):
+                n = 0
+                while i + n < len(item) and j + n < len(words) and item[i + n] == words[j + n]:
+                    n += 1
+                most = max(most, n if n >= min(window, len(item)) else 0)
+    return most
+
+
+@pytest.mark.parametrize("limit", [1 << 24, 900])
+def test_longest_match_is_within_one_item(spark, limit):
+    rows, items = cases()
+    long = [t for _, t in items if len(split(t)) >= 40]
+    rows = rows[::6] + [(300, " ".join(split(long[0])[-12:] + split(long[1])[:15])), (301, " ".join(split(long[0])[3:30] + split(long[0])[20:35])), (302, " ".join([long[0], "other", long[1]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.longest_match) for r in D.scan(docs, spark.createDataFrame(items, "item_id long, text string"), limit).collect()), key=str)
+    assert got == sorted(((k, longest(t, items)) for k, t in rows), key=str)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
