@@ -8,15 +8,15 @@ unlikely ones, and the rest are confirmed on full sets.
 
 A band's bucket may hold thousands of classes, so its pairs are never listed. First each class meets the least class of
 its buckets. Components of the confirmed links follow. Classes of a bucket with several components may still have links
-that weren't tried: for these, a prefix of the rarest shingles of each set, so long that two linked sets must share one,
-is searched exactly. Rare shingles have few holders, while sets that differ in too many places share none of their prefix.
-Holders of a shingle in different components are compared in blocks of bounded size. Likely pairs go on to confirmation
-if they are few; in a block with many, members are compared on full sets there, and only links come out, one for every
-two components.
+that weren't tried. For these, a prefix of the rarest shingles of each set, so long that two linked sets must share one,
+tells which could be linked at all; holders of a shingle whose estimate allows a link across components are put into one
+cluster, which takes one row for each holder. Each cluster is then settled once on full sets: members outside of its
+largest component meet all others in blocks of bounded size, and only links come out, one for every two components.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing; a text of fewer
-words than a shingle is one shingle; equal texts are linked; rows that repeat a doc_id get a result each, by their text;
-a null doc_id takes no part and stays; other columns are ignored; an empty table gives an empty result.
+words than a shingle is one shingle; a very long text has a large set, which is held whole, as one row; equal texts are
+linked; rows that repeat a doc_id get a result each, by their text; a null doc_id takes no part and stays; other columns
+are ignored by near_duplicates() and kept by keep_one(), whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,9 +40,8 @@ COLLISION = 2.0**-MANTISSA / 3
 #: An estimate so many standard deviations below the threshold is still confirmed on full sets.
 SIGMAS = 5
 MEMO_WORDS = 150_000
-BLOCK = 500
-#: Likely pairs per member up to which a block passes them on one by one.
-SPARSE = 4
+#: Sketches, and shingles of full sets, that a block holds; a group is two blocks.
+BLOCK_SKETCHES, BLOCK_SHINGLES = 500, 1 << 19
 _U = np.uint64
 _WORDS: dict[bytes, int] = {}
 _STARTS = np.arange(BUCKETS, dtype=_U) << _U(56)
@@ -137,222 +136,225 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
 def _bands(classes: DataFrame) -> DataFrame:
     def rows(batch: pa.RecordBatch) -> dict:
         keys = band_keys(_registers(batch.column(1)))
-        return {"rep": np.repeat(np.array(batch.column(0)), BANDS), "band_key": keys.reshape(-1)}
+        return {"node": np.repeat(np.array(batch.column(0)), BANDS), "band_key": keys.reshape(-1)}
 
-    return mapped(classes.select("rep", "registers"), rows, "rep long, band_key long")
+    return mapped(classes.select("node", "registers"), rows, "node long, band_key long")
 
 
-def _likely(pairs: DataFrame, classes: DataFrame, share: float, num: int, den: int) -> DataFrame:
+def _likely(pairs: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs whose sizes and estimate allow a link."""
-    one, two = (classes.toDF(k, f"n_{k}", f"r_{k}") for k in "ab")
+    one, two = (members.select("node", "n", "registers").toDF(k, f"n_{k}", f"r_{k}") for k in "ab")
     both = pairs.join(one, "a").join(two, "b").where(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)")
-    least = least_estimate(share)
+    least = least_estimate(num / den)
 
     def rows(batch: pa.RecordBatch) -> dict:
-        on = np.flatnonzero(estimate(_registers(batch.column(2)), _registers(batch.column(3))) >= least)
-        return {"a": batch.column(0).take(pa.array(on)), "b": batch.column(1).take(pa.array(on))}
+        on = pa.array(np.flatnonzero(estimate(_registers(batch.column(2)), _registers(batch.column(3))) >= least))
+        return {"a": batch.column(0).take(on), "b": batch.column(1).take(on)}
 
     return mapped(both.select("a", "b", "r_a", "r_b"), rows, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """pairs (a, b) with linked: whether their full sets are similar enough."""
-    wanted = pairs.selectExpr("explode(array(a, b)) doc_id").distinct()
-
-    sets = written(_set_rows(docs, wanted, size), "sets")
+def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
     one, two = sets.toDF("a", "items_a"), sets.toDF("b", "items_b")
-    # The set of b travels to a; a class that many pairs share is split among tasks by its partners.
-    common = F.size(F.array_intersect("items_a", "items_b"))
-    joined = pairs.join(two, "b").join(one, "a").select("a", "b", common.alias("common"), (F.size("items_a") + F.size("items_b") - common).alias("all"))
-    out = written(joined.groupBy("a", "b").agg(F.expr(f"bool_or({den}L * common >= {num}L * all)").alias("linked")), "confirmed", release=True)
-    drop_written(sets)
-    return out
+    # The set of b travels to a; nothing here needs an a's rows together, so that one with many partners can be split.
+    joined = pairs.join(two, "b").join(one, "a")
+    counted = joined.selectExpr("a", "b", "size(array_intersect(items_a, items_b)) common", "size(items_a) + size(items_b) total")
+    return counted.where(f"{den}L * common >= {num}L * (total - common)").select("a", "b")
 
 
-def _set_rows(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """rep and items, the whole set, of the wanted documents (doc_id)."""
+def _sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
+    """node and items, the whole set, of the members' first documents."""
 
     def rows(batch: pa.RecordBatch) -> dict:
-        return {"rep": batch.column(0), "items": [shingles(t, size).astype(np.int64) for t in texts(batch.column(1))]}
+        return {"node": batch.column(0), "items": [shingles(t, size).astype(np.int64) for t in texts(batch.column(1))]}
 
-    return mapped_texts(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text"), rows, "rep long, items array<long>")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    heads = members.select("head.doc_id", "head.text_hash", "node")
+    return mapped_texts(keyed.join(heads, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select("node", "text"), rows, "node long, items array<long>")
 
 
-def _prefixes(shared: DataFrame, labels: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """(band_key, rep): rare shingles that each class of an undecided bucket must share with any class it is linked to.
+def _prefixes(shared: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, node): rare shingles that each class of an undecided bucket must share with any class it is linked to.
 
     Of two sets with enough in common, the shorter prefix rule holds for both: all but num/den of a set's shingles, and
     one more, rarest first. Shingles that no other undecided class has count, but can't be shared.
     """
-    members = shared.join(labels.toDF("rep", "component"), "rep", "left").selectExpr("band_key", "rep", "coalesce(component, rep) component")
-    open_keys = members.groupBy("band_key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band_key")
-    undecided = members.join(open_keys, "band_key", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-    sets = written(_set_rows(docs, undecided, size), "undecided")
-    each = sets.select("rep", F.size("items").alias("n"), F.explode("items").alias("band_key"))
-    common = each.groupBy("band_key").agg(F.count("*").alias("holders")).where("holders > 1")
-    held = each.join(common, "band_key").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("holders", "band_key"))).alias("found"))
+    parts = _in_components(shared, labels)
+    open_keys = parts.groupBy("band_key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band_key")
+    undecided = parts.join(open_keys, "band_key", "left_semi").select("node").distinct()
+    each = sets.join(undecided, "node").select("node", F.size("items").alias("n"), F.explode("items").alias("key"))
+    common = each.groupBy("key").agg(F.count("*").alias("holders")).where("holders > 1")
+    held = each.join(common, "key").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("holders", "key"))).alias("found"))
     # A set of n must share at least num * n / den, so a prefix is n - ceil(num * n / den) + 1; its unshared ones come first.
-    length = "n - cast((num_ * n + den_ - 1) div den_ as int) + 1 - (n - size(found))".replace("num_", str(num)).replace("den_", str(den))
-    out = written(held.selectExpr("rep", f"explode(slice(found, 1, greatest(0, {length}))) x").selectExpr("x.band_key", "rep").distinct(), "prefixes", release=True)
-    drop_written(sets)
-    return out
+    length = f"n - cast(({num}L * n + {den - 1}) div {den} as int) + 1 - (n - size(found))"
+    return held.selectExpr("node", f"explode(slice(found, 1, greatest(0, {length}))) x").selectExpr("x.key", "node")
+
+
+def _in_components(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with a component; a node without a link is its own."""
+    return rows.join(labels, "node", "left").withColumn("component", F.expr("coalesce(component, node)"))
 
 
-def _dealt(prefixes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (band_key, x, y, block, rep, component) of shingles with several components, in blocks of about BLOCK rows.
+def _dealt(members: DataFrame, weight: str, limit: int) -> DataFrame:
+    """Rows (key, x, y, block, node, component) of keys with several components; (x, y) is a group of two blocks.
 
-    Two blocks x and y of a shingle meet in one group, so no task holds more however many holders there are.
+    Members outside of a key's largest component are compared with all others, those inside of it only with them. Blocks
+    hold a weight of about limit, so no group grows with a key; rows grow with the members and, where these are many, with
+    those outside times the blocks inside.
     """
-    members = prefixes.join(labels.toDF("rep", "component"), "rep", "left").selectExpr("band_key", "rep", "coalesce(component, rep) component")
-    spread = members.groupBy("band_key").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").selectExpr("band_key", f"cast(ceil(members / {BLOCK}) as int) blocks")
-    rows = members.join(spread, "band_key").withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
-    return rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).selectExpr("band_key", "least(block, other) x", "greatest(block, other) y", "block", "rep", "component")
+    parts = members.groupBy("key", "component").agg(F.sum(F.expr(weight)).alias("w"))
+    keys = parts.groupBy("key").agg(F.max(F.struct("w", "component")).alias("most"), F.sum("w").alias("w")).where("most.w < w")
+    sized = keys.selectExpr("key", "most.component main", f"cast(ceil((w - most.w) / {limit}) as int) apart", f"cast(ceil(most.w / {limit}) as int) inside")
+    rows = members.join(sized, "key").selectExpr("key", "node", "component", "apart", "inside", "component = main AS is_main", "cast(if(component = main, apart + pmod(xxhash64(node), inside), pmod(xxhash64(node), apart)) as int) block")
+    met = rows.withColumn("other", F.explode(F.expr("sequence(0, if(is_main, apart, apart + inside) - 1)")))
+    return met.selectExpr("key", "least(block, other) x", "greatest(block, other) y", "block", "node", "component")
 
 
-def _grouped(rows: DataFrame, columns: list[str], made: Callable[[list, list], dict], ddl: str) -> DataFrame:
-    """made of each group of (band_key, x, y), which gets its rows of columns."""
+def _grouped(rows: DataFrame, made: Callable[[pa.Table], tuple[list, list]]) -> DataFrame:
+    """Pairs (a, b) that made finds in each group of (key, x, y)."""
     spark = rows.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    schema = arrow_schema(spark, ddl)
+    schema = arrow_schema(spark, "a long, b long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, group = None, []
-        for batch in batches:
-            for *key, row in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.select(columns).to_struct_array(), strict=True):
-                if key != now and group:
-                    yield as_batch(made(now, group), schema)
-                    group = []
-                now = key
-                group.append(row)
-        if group:
-            yield as_batch(made(now, group), schema)
+        now, parts = None, []
+
+        def done() -> pa.RecordBatch:
+            a, b = made(pa.Table.from_batches(parts).combine_chunks())
+            return as_batch({"a": a, "b": b}, schema)
 
-    return rows.select("band_key", "x", "y", *columns).repartition("band_key", "x", "y").sortWithinPartitions("band_key", "x", "y").mapInArrow(run, ddl)
+        for batch in batches:
+            keys = np.stack([np.array(c) for c in batch.columns[:3]], 1).astype(np.int64)
+            starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for i, j in zip(starts, starts[1:], strict=False):
+                if i < j:
+                    if parts and tuple(keys[i]) != now:
+                        yield done()
+                        parts = []
+                    now = tuple(keys[i])
+                    parts.append(batch.slice(i, j - i))
+        if parts:
+            yield done()
 
+    return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long")
 
-def _column(group: list, name: str) -> list:
-    return [row[name].as_py() for row in group]
 
+def _across(group: pa.Table, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each member of a group's first block, those of the second that a link is likely to, and a label for each member.
 
-def _tried(blocks: np.ndarray, reps: np.ndarray, registers: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray]]:
-    """For each member of the first block, the members of the second that a link is likely to; each pair once."""
+    A label tells a component apart; the caller joins them. Of a pair within one block each comes once.
+    """
+    blocks, registers = np.array(group["block"]), _registers(group["registers"])
+    labels = np.unique(np.array(group["component"]), return_inverse=True)[1]
     x, y = blocks == blocks.min(), blocks == blocks.max()
+    later = np.arange(len(blocks))
     for i in np.flatnonzero(x):
-        others = np.flatnonzero(y & ((reps > reps[i]) | ~x))
+        others = np.flatnonzero(y & (labels != labels[i]) & ((later > i) | ~x))
         if len(others):
-            yield i, others[estimate(registers[others], registers[i]) >= least]
-
-
-def _likely_across(dealt: DataFrame, classes: DataFrame, share: float) -> DataFrame:
-    """Likely links between components of a group: pairs (a, b), or where there are more than SPARSE per member the members (a) alone."""
-    least = least_estimate(share)
-
-    def made(key: list, group: list) -> dict:
-        blocks, reps, parts = (np.array(_column(group, c)) for c in ("block", "rep", "component"))
-        registers = np.frombuffer(b"".join(_column(group, "registers")), "<u2").reshape(-1, BUCKETS)
-        on, pairs, n = np.zeros(len(reps), bool), [], 0
-        for i, others in _tried(blocks, reps, registers, least):
-            others = others[parts[others] != parts[i]]
-            n += len(others)
-            on[others] = True
-            on[i] |= len(others) > 0
-            if n <= SPARSE * len(reps):
-                pairs += [(min(reps[i], reps[j]), max(reps[i], reps[j])) for j in others]
-        if n <= SPARSE * len(reps):
-            a, b = [p for p, _ in pairs], [q for _, q in pairs]
-        else:
-            a = np.unique(reps[on]).tolist()
-            b = [None] * len(a)
-        return {k: [v] * len(a) for k, v in zip(("band_key", "x", "y"), key, strict=True)} | {"a": a, "b": b}
-
-    rows = dealt.join(classes.select("rep", "registers"), "rep")
-    return _grouped(rows, ["block", "rep", "component", "registers"], made, "band_key long, x int, y int, a long, b long")
-
-
-def _links_across(rows: DataFrame, classes: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) between components, confirmed on full sets; of two components' links in a group one is enough."""
+            yield i, others[estimate(registers[others], registers[i]) >= least], labels
+
+
+def _clusters(prefixes: DataFrame, members: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+    """node and key, its cluster: classes joined by likely links between components."""
     least = least_estimate(num / den)
-    sets = written(_set_rows(docs, rows.select(F.col("rep").alias("doc_id")).distinct(), size), "sets")
-
-    def made(key: list, group: list) -> dict:
-        blocks, reps = (np.array(_column(group, c)) for c in ("block", "rep"))
-        parts = _column(group, "component")
-        registers = np.frombuffer(b"".join(_column(group, "registers")), "<u2").reshape(-1, BUCKETS)
-        items = [row["items"].values.to_numpy() for row in group]
-        distinct, places = np.unique(np.concatenate(items), return_inverse=True)
-        bounds = np.cumsum([0, *map(len, items)])
-        places = [places[p:q] for p, q in zip(bounds, bounds[1:], strict=False)]
-        joined: dict = {}
-
-        def part(i: int):
-            p = parts[i]
-            while p in joined:
-                p = joined[p]
-            return p
-
-        out, mark = {"a": [], "b": []}, np.zeros(len(distinct), bool)
-        for i, others in _tried(blocks, reps, registers, least):
+
+    def made(group: pa.Table) -> tuple[list, list]:
+        nodes, out = np.array(group["node"]), ([], [])
+        tree = np.arange(len(nodes))
+        for i, others, _ in _across(group, least):
+            apart, first = np.unique(tree[others], return_index=True)
+            new = first[apart != tree[i]]
+            out[0].extend([nodes[i]] * len(new))
+            out[1].extend(nodes[others[new]])
+            tree[np.isin(tree, apart)] = tree[i]
+        return out
+
+    dealt = _dealt(_in_components(prefixes, labels), "1L", BLOCK_SKETCHES)
+    edges = written(_grouped(dealt.join(members.select("node", "registers"), "node").select("key", "x", "y", "block", "node", "component", "registers"), made).distinct(), "edges", release=True)
+    return components(edges).withColumnRenamed("component", "key")
+
+
+def _links_across(clusters: DataFrame, members: DataFrame, sets: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between components of a cluster, confirmed on full sets; of two components' links in a group one is enough."""
+    least = least_estimate(num / den)
+
+    def made(group: pa.Table) -> tuple[list, list]:
+        nodes, out = np.array(group["node"]), ([], [])
+        items = group["items"].combine_chunks()
+        bounds, flat = items.offsets.to_numpy(), items.values.to_numpy()
+        distinct, places = np.unique(flat[bounds[0] : bounds[-1]], return_inverse=True)
+        places = [places[p - bounds[0] : q - bounds[0]] for p, q in zip(bounds, bounds[1:], strict=False)]
+        mark = np.zeros(len(distinct), bool)
+        for i, others, part in _across(group, least):
             mark[places[i]] = True
             for j in others:
-                if part(i) != part(j):
+                if part[i] != part[j]:
                     common = int(np.count_nonzero(mark[places[j]]))
                     if den * common >= num * (len(places[i]) + len(places[j]) - common):
-                        joined[part(i)] = part(j)
-                        out["a"].append(min(reps[i], reps[j]))
-                        out["b"].append(max(reps[i], reps[j]))
+                        part[part == part[j]] = part[i]
+                        out[0].append(nodes[i])
+                        out[1].append(nodes[j])
             mark[places[i]] = False
         return out
 
-    whole = rows.join(classes.select("rep", "registers"), "rep").join(sets, "rep")
-    found = written(_grouped(whole, ["block", "rep", "component", "registers", "items"], made, "a long, b long").distinct(), "links", release=True)
-    drop_written(sets)
-    return found
-
+    sized = _in_components(clusters, labels).join(members.select("node", "n"), "node")
+    dealt = _dealt(sized, "n", BLOCK_SHINGLES)
+    whole = dealt.join(members.select("node", "registers"), "node").join(sets, "node")
+    return _grouped(whole.select("key", "x", "y", "block", "node", "component", "registers", "items"), made).distinct()
 
-def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (least doc_id linked, over any number of links), kept, n_links, text_hash.
 
-    Sets are linked where den * common >= num * all. n_links counts the confirmed links of the row's class that were needed to find its component. text_hash is
-    Spark's xxhash64 of the text, which with doc_id finds the row.
-    """
-    share = num / den
+def groups(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Per row: doc_id, text_hash (xxhash64), n (size of the set), and the least (doc_id, text_hash) of its component, null for rows that take no part."""
     held = written(sketches(docs, size), "sketches")
     whole = held.where("doc_id is not null and n > 0")
-    classes = written(whole.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("registers").alias("registers")), "classes")
-    narrow = classes.select("rep", "n", "registers").dropDuplicates(["rep", "registers"])
+    # A class is its set, as rows of one doc_id can have several texts; its number is written, and so stays.
+    classes = written(whole.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("head"), F.first("n").alias("n"), F.first("registers").alias("registers")).withColumn("node", F.monotonically_increasing_id()), "classes", release=True)
     bands = written(_bands(classes), "bands")
-    centres = bands.groupBy("band_key").agg(F.min("rep").alias("centre"), F.count("*").alias("members")).where("members > 1")
+    centres = bands.groupBy("band_key").agg(F.min("node").alias("centre"), F.count("*").alias("members")).where("members > 1")
     # Only buckets that classes share go on; buckets of two are done with their one pair.
     shared = written(bands.join(centres, "band_key"), "shared", release=True)
     drop_written(bands)
-    first = shared.where("rep <> centre").selectExpr("centre a", "rep b").distinct()
-    shared = shared.where("members > 2").select("band_key", "rep")
-    with_text = docs.select("doc_id", "text")
-    done = _confirmed(written(_likely(first, narrow, share, num, den).distinct(), "pairs"), with_text, size, num, den)
-    labels = components(done.where("linked"))
-    dealt = written(_dealt(_prefixes(shared, labels, with_text, size, num, den), labels), "dealt", release=True)
-    likely = written(_likely_across(dealt, narrow, share), "likely", release=True)
-    pairs = written(likely.where("b is not null").select("a", "b").distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    if not pairs.isEmpty():
-        done = written(done.union(_confirmed(pairs, with_text, size, num, den)), "confirmed", release=True)
-    dense = dealt.join(likely.where("b is null").withColumnRenamed("a", "rep"), ["band_key", "x", "y", "rep"], "left_semi")
-    more = _links_across(dense, narrow, with_text, size, num, den)
-    done = written(done.union(more.withColumn("linked", F.lit(True))), "confirmed")
-    labels = components(done.where("linked"))
-    links = done.where("linked").selectExpr("explode(array(a, b)) node").groupBy("node").agg(F.count("*").alias("n_links"))
-    of_class = classes.select("set_key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(links.withColumnRenamed("node", "rep"), "rep", "left").selectExpr("set_key", "coalesce(component, rep) component", "n_links").dropDuplicates(["set_key"])
-    out = held.select("doc_id", "text_hash", "n", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(of_class, "set_key", "left")
-    return out.selectExpr("doc_id", "n n_shingles", "coalesce(component, doc_id) component_id", "doc_id <=> coalesce(component, doc_id) kept", "coalesce(n_links, 0L) n_links", "text_hash")
+    members = written(classes.join(shared.select("node").distinct(), "node"), "members", release=True)
+    sets = written(_sets(docs, members, size), "sets", release=True)
+    first = shared.where("node <> centre").selectExpr("centre a", "node b").distinct()
+    pairs = written(_likely(first, members, num, den), "pairs", release=True)
+    links = written(_links(pairs, sets, num, den), "links", release=True)
+    labels = components(links)
+    prefixes = written(_prefixes(shared.where("members > 2").select("band_key", "node"), labels, sets, num, den), "prefixes", release=True)
+    clusters = _clusters(prefixes, members, labels, num, den)
+    more = written(_links_across(clusters, members, sets, labels, num, den), "links", release=True)
+    if not more.isEmpty():
+        labels = components(links.union(more))
+    heads = _in_components(members.select("node", "head"), labels).groupBy("component").agg(F.min("head").alias("first"))
+    firsts = _in_components(members.select("node"), labels).join(heads, "component").select("node", "first")
+    of_class = written(classes.select("set_key", "node", "head").join(firsts, "node", "left").select("set_key", F.coalesce("first", "head").alias("first")), "firsts", release=True)
+    for table in (shared, sets, members, classes, prefixes):
+        drop_written(table)
+    keyed = held.select("doc_id", "text_hash", "n", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key"))
+    return keyed.join(of_class, "set_key", "left").select("doc_id", "text_hash", "n", "first")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (least doc_id linked, over any number of links), kept, text_hash.
+
+    Sets are linked where den * common >= num * all. text_hash is Spark's xxhash64 of the text, which with doc_id finds the
+    row.
+    """
+    found = groups(docs.select("doc_id", "text"), size, num, den).withColumn("component_id", F.coalesce("first.doc_id", "doc_id"))
+    return found.selectExpr("doc_id", "n n_shingles", "component_id", "doc_id <=> component_id kept", "text_hash")
 
 
 def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The documents without all but the first of each component, with all their columns; of equal rows one stays."""
-    found = near_duplicates(docs, size, num, den)
-    rows = docs.withColumn("_hash", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("text_hash"))
-    gone = found.where("not kept").selectExpr("doc_id _id", "text_hash").distinct()
-    left = rows.join(gone, same, "left_anti")
-    several = written(found.where("kept and doc_id is not null and n_shingles > 0").groupBy("doc_id", "text_hash").count().where("count > 1").selectExpr("doc_id _id", "text_hash"), "several")
+    found = groups(docs.select("doc_id", "text"), size, num, den).where("first is not null").select("doc_id", "text_hash", (F.struct("doc_id", "text_hash") == F.col("first")).alias("stays"))
+    keys = found.groupBy("doc_id", "text_hash", "stays").count().where("not stays or count > 1")
+    # The caller's columns travel in one struct, so that none of their names can clash.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    marked = written(keys.select("doc_id", "text_hash", "stays"), "decided")
+    left = rows.join(marked.where("not stays"), ["doc_id", "text_hash"], "left_anti")
+    several = marked.where("stays")
     if not several.isEmpty():
-        left = left.join(several, same, "left_anti").unionByName(left.join(several, same, "left_semi").dropDuplicates(["doc_id", "_hash"]))
-    return left.select(*docs.columns)
+        key = ["doc_id", "text_hash"]
+        left = left.join(several, key, "left_anti").unionByName(left.join(several, key, "left_semi").dropDuplicates(key))
+    return left.select("row.*")

@@ -51,10 +51,11 @@ def corpus():
     return rows + [(1000, None), (1001, ""), (1002, " \t\n"), (None, texts[0]), (None, None)]
 
 
-@pytest.mark.parametrize("sparse", [4, 0])
-def test_equals_brute_force(spark, monkeypatch, sparse):
-    monkeypatch.setattr(N, "BLOCK", 7)
-    monkeypatch.setattr(N, "SPARSE", sparse)
+@pytest.mark.parametrize("small", [True, False])
+def test_equals_brute_force(spark, monkeypatch, small):
+    if small:
+        monkeypatch.setattr(N, "BLOCK_SKETCHES", 7)
+        monkeypatch.setattr(N, "BLOCK_SHINGLES", 700)
     rows = corpus()
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, component_id string").repartition(4)
     for size, num, den in ((3, 85, 100), (5, 80, 100)):
@@ -82,3 +83,30 @@ def test_estimate():
             a, b = np.unique(pool[:n]), np.unique(pool[n - common :])
             guesses.append(N.estimate(N.sketch(a), N.sketch(b)) - common / (2 * n - common))
         assert abs(np.mean(guesses)) < 0.08
+
+
+def test_texts_of_one_id_are_told_apart(spark):
+    base = [f"v{i}" for i in range(100)]
+    near = [*base[:98], "x", "y"]
+    other = [f"z{i}" for i in range(100)]
+    rows = [(5, " ".join(base)), (5, " ".join(other)), (9, " ".join(near)), (5, " ".join(near)), (8, " ".join([*other[:99], "q"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r)[:4] for r in N.near_duplicates(docs).collect())
+    assert got == sorted(brute(rows, 5, 80, 100))
+    assert sorted(r.doc_id for r in N.keep_one(docs).collect()) == [5, 5]
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(3)
+    long = [f"w{rng.randrange(30_000)}" for _ in range(60_000)]
+    rows = [(1, " ".join(long)), (2, " ".join([*long[:55_000], *("new" + w for w in long[55_000:])])), (3, " ".join(long[:30_000]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r)[:4] for r in N.near_duplicates(docs).collect()) == sorted(brute(rows, 5, 80, 100))
+
+
+def test_keep_one_keeps_every_column(spark):
+    text = "one two three four five six seven eight"
+    rows = [(1, text, 1, 2, "a", True), (1, text, 1, 2, "a", True), (2, text, 3, 4, "b", False), (3, "quite another text of some words", 5, 6, "c", False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _hash long, _id long, text_hash string, stays boolean")
+    got = sorted(N.keep_one(docs).collect())
+    assert [tuple(r) for r in got] == [rows[0], rows[3]] and N.keep_one(docs).columns == docs.columns
