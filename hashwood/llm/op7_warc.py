@@ -1,13 +1,16 @@
 """WARC records as a chunked table.
 
 A record is one row per chunk of at most CHUNK payload bytes: record key, chunk number, the header block on the first,
-the bytes, and the SHA-1 of the payload so far. Writer and reader hold one chunk at a time, and a reader can tell where
-a payload breaks. Header, chunks and two line ends in order are the record's bytes in a WARC file (write_file,
-read_file). A payload's later copies are revisits without bytes, found through one aggregate over digests.
-
-Defined results: a null or empty html is an empty payload; of equal payloads, rows that share the largest page_id are
-all responses, and so is one with a null page_id unless an equal payload has a page_id; a null url is named by its page;
-other columns are ignored; an empty table gives an empty result.
+the bytes, and the SHA-1 of the payload so far. The JVM cuts a row's payload into chunks, and Python's writer and reader
+get PASS_ROWS of these at a time, never a whole payload; a reader can tell where a payload breaks. Header, chunks and two
+line ends in order are the record's bytes in a WARC file (write_file, read_file). A payload's later copies are revisits
+without bytes, found through one aggregate over digests. Records of one chunk are verified where they are read, and only
+those of several chunks are brought together again.
+
+Defined results: a null or empty html is an empty payload; a very long one has as many chunks as it needs; of equal
+payloads, rows that share the largest page_id are all responses, and so is one with a null page_id unless an equal
+payload has a page_id; a null url is named by its page; pages have no time of their own, so a record's date is a
+parameter; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,10 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, arrow_schema, as_batch, new_path
+from .common import BATCH_ROWS, arrow_schema, as_batch, blocks, new_path
 
 CHUNK = 64 << 10
-BATCH_BYTES = 4 << 20
+#: Chunks that Python looks at together, 4 MB.
+PASS_ROWS = 64
 SCHEMA = "record_key string, chunk_no int, header string, data binary, digest_so_far string, last boolean"
 DATE = "1970-01-01T00:00:00Z"
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
@@ -64,19 +68,19 @@ def _page(urn: str) -> int | None:
 
 
 def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, html, sha1 of the payload and refers_to, null for responses."""
+    """page_id, url, html, sha1 of the payload, its bytes n, and refers_to, null for responses."""
     html = F.coalesce("html", F.lit(""))
-    base = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("sha1"))
-    narrow = base.select("page_id", "sha1", F.octet_length("html").alias("n")).where(F.col("n") >= min_bytes)
+    base = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("sha1"), F.octet_length(html).alias("n"))
+    narrow = base.select("page_id", "sha1", "n").where(F.col("n") >= min_bytes)
     newest = narrow.groupBy("sha1", "n").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1 and refers_to is not null")
     # Payloads move by page only: digests of many copies meet without their bytes.
     revisits = narrow.join(newest.drop("copies"), ["sha1", "n"]).where("not page_id <=> refers_to").select("page_id", "sha1", "refers_to").distinct()
     other = revisits.toDF("r_page", "r_sha1", "refers_to")
-    return base.join(other, F.col("page_id").eqNullSafe(F.col("r_page")) & (F.col("sha1") == F.col("r_sha1")), "left").select("page_id", "url", "html", "sha1", "refers_to")
+    return base.join(other, F.col("page_id").eqNullSafe(F.col("r_page")) & (F.col("sha1") == F.col("r_sha1")), "left").select("page_id", "url", "html", "sha1", "n", "refers_to")
 
 
 def record_chunks(key: str, header: str, payload: memoryview | bytes, size: int = CHUNK) -> Iterator[dict]:
-    """A record's rows; payload is sliced, never copied whole."""
+    """The rows of a record whose payload is at hand, as the archive has them."""
     digest, n = hashlib.sha1(), len(payload)
     for no, at in enumerate(range(0, max(n, 1), size)):
         data = bytes(payload[at : at + size])
@@ -84,37 +88,51 @@ def record_chunks(key: str, header: str, payload: memoryview | bytes, size: int
         yield {"record_key": key, "chunk_no": no, "header": None if no else header, "data": data, "digest_so_far": base32(digest.digest()), "last": at + size >= n}
 
 
-def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
+def payload_chunks(records: DataFrame, size: int = CHUNK) -> DataFrame:
+    """page_id, url, sha1, n, refers_to, chunk_no, data, last: the payloads of responses in chunks, revisits as an empty one."""
+    counted = records.withColumn("chunks", F.expr(f"if(refers_to is null, greatest(1, (n + {size - 1}) div {size}), 1)"))
+    each = counted.select("*", F.explode(F.expr("sequence(0, cast(chunks as int) - 1)")).alias("chunk_no"))
+    data = F.expr(f"if(refers_to is null, substring(cast(html as binary), chunk_no * {size} + 1, {size}), cast('' as binary))")
+    return each.select("page_id", "url", "sha1", "n", "refers_to", "chunk_no", data.alias("data"), F.expr("chunk_no + 1 = chunks").alias("last"))
+
+
+def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, PASS_ROWS):
+            yield batch.slice(at, PASS_ROWS)
+
+
+def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str = DATE) -> None:
     """Writes one record per row of (page_id, url, html) under path."""
     spark = pages.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     schema = arrow_schema(spark, SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, record, rows, held = TaskContext.get().partitionId(), 0, [], 0
-        for batch in batches:
-            page_ids, urls, sha1s, targets = (batch.column(i).to_pylist() for i in (0, 1, 3, 4))
-            for i in range(batch.num_rows):
-                payload = memoryview(batch.column(2)[i].as_buffer())
-                header = header_block(page_ids[i], urls[i], base32(bytes.fromhex(sha1s[i])), len(payload), targets[i])
-                for row in record_chunks(f"{part}-{record}", header, b"" if targets[i] is not None else payload):
-                    rows.append(row)
-                    held += len(row["data"]) + 500
-                    if held >= BATCH_BYTES:
-                        yield as_batch({k: [r[k] for r in rows] for k in schema.names}, schema)
-                        rows, held = [], 0
-                record += 1
-        if rows:
-            yield as_batch({k: [r[k] for r in rows] for k in schema.names}, schema)
-
-    with_revisits(pages, min_bytes).mapInArrow(run, SCHEMA).write.parquet(path)
+        part, record, digest = TaskContext.get().partitionId(), -1, hashlib.sha1()
+        for batch in passes(batches):
+            out = {k: [] for k in schema.names}
+            for row in batch.to_pylist():
+                header = None
+                if not row["chunk_no"]:
+                    record, digest = record + 1, hashlib.sha1()
+                    header = header_block(row["page_id"], row["url"], base32(bytes.fromhex(row["sha1"])), row["n"], row["refers_to"], date)
+                digest.update(row["data"])
+                for k, v in zip(schema.names, (f"{part}-{record}", row["chunk_no"], header, row["data"], base32(digest.digest()), row["last"]), strict=True):
+                    out[k].append(v)
+            yield as_batch(out, schema)
+
+    # A record's chunks follow each other in one task: nothing moves between the two steps.
+    payload_chunks(with_revisits(pages, min_bytes)).mapInArrow(run, SCHEMA).write.parquet(path)
 
 
 def joined_records(rows: Iterable[dict]) -> Iterator[dict]:
     """Facts of each record from its chunks in order; raises where a digest or an order doesn't hold."""
-    fields, digest, size, expected = {}, hashlib.sha1(), 0, 0
+    fields, digest, size, expected, key = {}, hashlib.sha1(), 0, 0, None
     for row in rows:
-        if row["chunk_no"] == 0:
+        if key is not None and row["record_key"] != key:
+            raise ValueError(f"record {key}: its end is missing")
+        if row["chunk_no"] == 0 and key is None:
             fields, digest, size, expected = parse_header(row["header"]), hashlib.sha1(), 0, 0
         if row["chunk_no"] != expected:
             raise ValueError(f"record {row['record_key']}: chunk {expected} is missing")
@@ -122,32 +140,30 @@ def joined_records(rows: Iterable[dict]) -> Iterator[dict]:
         size, expected = size + len(row["data"]), expected + 1
         if base32(digest.digest()) != row["digest_so_far"]:
             raise ValueError(f"record {row['record_key']}: chunk {row['chunk_no']} is damaged")
+        key = None if row["last"] else row["record_key"]
         if row["last"]:
             named, kind = fields["warc-payload-digest"].removeprefix("sha1:"), fields["warc-type"]
             if kind == "response" and (named != row["digest_so_far"] or size != int(fields["http:content-length"])):
                 raise ValueError(f"record {row['record_key']}: the payload isn't what its header says")
             yield {"page_id": _page(fields["warc-record-id"]), "payload_bytes": int(fields["http:content-length"]), "payload_digest": named, "record_type": kind, "refers_to": _page(fields["warc-refers-to"]) if "warc-refers-to" in fields else None, "url": fields["warc-target-uri"]}
+    if key is not None:
+        raise ValueError(f"record {key}: its end is missing")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """Per record under path: page_id, payload_bytes, payload_digest, record_type, refers_to, url."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     ddl = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
     schema = arrow_schema(spark, ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for batch in batches for row in batch.to_pylist())
-        out: list[dict] = []
-        for record in joined_records(rows):
-            out.append(record)
-            if len(out) >= BATCH_ROWS:
-                yield as_batch({k: [r[k] for r in out] for k in schema.names}, schema)
-                out = []
-        if out:
-            yield as_batch({k: [r[k] for r in out] for k in schema.names}, schema)
+        rows = (row for batch in passes(batches) for row in batch.to_pylist())
+        for found in blocks(joined_records(rows), BATCH_ROWS):
+            yield as_batch({k: [r[k] for r in found] for k in schema.names}, schema)
 
     chunks = spark.read.schema(SCHEMA).parquet(path)
-    return chunks.repartition("record_key").sortWithinPartitions("record_key", "chunk_no").mapInArrow(run, ddl)
+    several = chunks.where("not (chunk_no = 0 and last)").repartition("record_key").sortWithinPartitions("record_key", "chunk_no")
+    return chunks.where("chunk_no = 0 and last").mapInArrow(run, ddl).union(several.mapInArrow(run, ddl))
 
 
 def archive(pages: DataFrame, path: str | None = None, min_bytes: int = 0) -> DataFrame:

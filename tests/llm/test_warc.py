@@ -45,3 +45,6 @@ def test_file_round_trip():
     back[5]["data"] = b"z" * 1000
     with pytest.raises(ValueError, match="damaged"):
         list(W.joined_records(back))
+    for gone, words in ((len(rows) - 2, "end is missing"), (3, "chunk 3 is missing")):
+        with pytest.raises(ValueError, match=words):
+            list(W.joined_records([r for i, r in enumerate(rows) if i != gone]))
