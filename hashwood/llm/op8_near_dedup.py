@@ -42,6 +42,8 @@ SIGMAS = 5
 MEMO_WORDS = 150_000
 #: Sketches, and shingles of full sets, that a block holds; a group is two blocks.
 BLOCK_SKETCHES, BLOCK_SHINGLES = 500, 1 << 19
+#: Tasks at most that share a bucket where its members meet what is known of it.
+SALTS = 16
 _U = np.uint64
 _WORDS: dict[bytes, int] = {}
 _STARTS = np.arange(BUCKETS, dtype=_U) << _U(56)
@@ -180,9 +182,9 @@ def _prefixes(shared: DataFrame, labels: DataFrame, sets: DataFrame, num: int, d
     Of two sets with enough in common, the shorter prefix rule holds for both: all but num/den of a set's shingles, and
     one more, rarest first. Shingles that no other undecided class has count, but can't be shared.
     """
-    parts = _in_components(shared, labels)
-    open_keys = parts.groupBy("band_key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band_key")
-    undecided = parts.join(open_keys, "band_key", "left_semi").select("node").distinct()
+    parts = _in_components(shared, labels).withColumn("salt", F.expr(f"pmod(xxhash64(node), {SALTS})"))
+    open_keys = parts.groupBy("band_key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").selectExpr("band_key", f"explode(sequence(0L, {SALTS - 1}L)) salt")
+    undecided = parts.join(open_keys, ["band_key", "salt"], "left_semi").select("node").distinct()
     each = sets.join(undecided, "node").select("node", F.size("items").alias("n"), F.explode("items").alias("key"))
     common = each.groupBy("key").agg(F.count("*").alias("holders")).where("holders > 1")
     held = each.join(common, "key").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("holders", "key"))).alias("found"))
