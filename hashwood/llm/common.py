@@ -119,8 +119,11 @@ def only(name: str, forget: Callable[[], None]) -> None:
 
     Workers are used again by later stages, so without this each operator's memo would add to the next one's.
     """
-    for other in [k for k in _HELD if k != name]:
-        _HELD.pop(other)()
+    if others := [k for k in _HELD if k != name]:
+        for other in others:
+            _HELD.pop(other)()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
     _HELD[name] = forget
 
 

@@ -2,18 +2,24 @@
 
 Distinct pieces of a batch become rows (piece, position, token). The recursive query joins neighbours with the merge
 table, contracts each piece's leftmost pair of least rank, and repeats until no piece has a pair left. Ids go back to
-text by an ordered aggregation over (document, position, id) joined with the vocabulary. Pieces of over LONG_PIECE bytes
-would make the recursion quadratic; a heap contracts the same pairs in the same order there.
-
-Defined results: a null or empty text gives no tokens; rows are treated one by one, so repeats and ties stay; a null
-doc_id is kept; other columns are ignored; an empty table gives an empty result.
+text by an ordered aggregation over (document, position, id) joined with the vocabulary.
+
+The query takes strings of about SEGMENT bytes; a longer piece goes through it in segments, two neighbours of which are
+then joined by encoding some tokens on either side of the seam again. That is exact: tokens are the encoding of their
+string if and only if each two neighbours are the encoding of theirs. (Steps between two token bounds that stay are those
+of that part alone, so parts of an encoding are encodings. Conversely, the first step over a bound between two tokens
+would be the least of these two as well, and so be in the encoding of both.) A seam is closed if the new tokens begin and
+end with the ones that were there, so that all neighbours have met; else more tokens are taken in.
+
+Defined results: a null or empty text gives no tokens; a very long one is split into pieces as a whole and encoded and
+decoded in parts; rows are treated one by one, so repeats and ties stay; a null doc_id is kept; other columns are ignored;
+an id that the vocabulary doesn't have raises when decoded; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +28,11 @@ from pyspark.sql import DataFrame
 from .common import mapped, mapped_texts, only, texts
 from .pieces import Memo, slices
 
-LONG_PIECE = 256
-CHUNK_PIECES = 20_000
+SEGMENT = 128
+#: Tokens on either side of a seam that are encoded again at first.
+SEAM = 4
+#: Bytes of pieces, and ids, that one query takes; DuckDB stays below MEMORY with them and never spills.
+CHUNK_BYTES, CHUNK_IDS, MEMORY = 1 << 17, 1 << 17, "160MB"
 
 ENCODE = """
 WITH RECURSIVE state AS (
@@ -51,7 +60,7 @@ WITH RECURSIVE state AS (
 SELECT piece, list(tok ORDER BY pos) AS ids FROM state WHERE done GROUP BY piece ORDER BY piece
 """
 DECODE = """
-SELECT t.doc, string_agg(v.chars, '' ORDER BY t.pos) AS chars
+SELECT t.doc, string_agg(v.chars, '' ORDER BY t.pos) AS chars, count(*) - count(v.id) AS unknown
 FROM tokens t LEFT JOIN vocabulary v ON v.id = t.id GROUP BY t.doc
 """
 _CODERS: dict[str, "Coder"] = {}
@@ -82,9 +91,9 @@ class Coder:
 
         self.ranks = read_ranks(path)
         found = np.array(merge_rows(self.ranks), np.int64).reshape(-1, 3)
-        self.merged = {(a, b): c for a, b, c in found.tolist()}
+        self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.bytes_of = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
         merges = pa.table({"pair": (found[:, 0] << 32) + found[:, 1], "merged": found[:, 2]})
         # A byte is the character of its number here, so that strings can carry any bytes.
         vocabulary = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "chars": [t.decode("latin-1") for t in self.ranks]})
@@ -97,19 +106,46 @@ class Coder:
     def pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece as little-endian unsigned 32-bit integers."""
         raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
-        out: list[bytes | None] = [None] * len(raw)
-        todo = []
-        for i, piece in enumerate(raw):
-            if (rank := self.ranks.get(piece)) is not None:
-                out[i] = rank.to_bytes(4, "little")
-            elif len(piece) > LONG_PIECE:
-                out[i] = self.by_heap(piece)
-            else:
-                todo.append(i)
-        for start in range(0, len(todo), CHUNK_PIECES):
-            chunk = todo[start : start + CHUNK_PIECES]
-            for i, ids in zip(chunk, self.by_query([raw[i] for i in chunk]), strict=True):
-                out[i] = ids
+        out: list[bytes | None] = [None if (rank := self.ranks.get(x)) is None else rank.to_bytes(4, "little") for x in raw]
+        todo = [i for i, ids in enumerate(out) if ids is None]
+        segments = [[raw[i][a : a + SEGMENT] for a in range(0, len(raw[i]), SEGMENT)] for i in todo]
+        encoded = iter(self.in_chunks([x for xs in segments for x in xs]))
+        parts = [[next(encoded) for _ in xs] for xs in segments]
+        while seams := [(xs, i) for xs in parts for i in range(0, len(xs) - 1, 2)]:
+            joined = iter(self.joined([(xs[i], xs[i + 1]) for xs, i in seams]))
+            for xs in parts:
+                xs[:] = [next(joined) if i + 1 < len(xs) else xs[i] for i in range(0, len(xs), 2)]
+        for i, xs in zip(todo, parts, strict=True):
+            out[i] = xs[0]
+        return out
+
+    def joined(self, pairs: list[tuple[bytes, bytes]]) -> list[bytes]:
+        """The encodings of two strings on end, from those of each."""
+        # left is an encoding, and so is right; the tokens from `a` of left to `b` of right are encoded again.
+        work = [[np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), SEAM, SEAM] for x, y in pairs]
+        open_ = list(range(len(work)))
+        while open_:
+            windows = [(np.concatenate([left[-a:], right[:b]])) for left, right, a, b in (work[k] for k in open_)]
+            found = self.in_chunks([b"".join(map(self.tokens.__getitem__, w.tolist())) for w in windows])
+            still = []
+            for k, window, ids in zip(open_, windows, found, strict=True):
+                (left, right, a, b), new = work[k], np.frombuffer(ids, "<u4")
+                if a < len(left) and new[0] != window[0]:
+                    work[k][2] = 2 * a
+                    still.append(k)
+                    continue
+                ends = b >= len(right) or new[-1] == window[-1]
+                # What is on the left is the encoding of its string in any case, and grows by the window.
+                work[k] = [np.concatenate([left[:-a], new]), right[b:], SEAM, 2 * b]
+                if not ends:
+                    still.append(k)
+            open_ = still
+        return [np.concatenate(w[:2]).tobytes() for w in work]
+
+    def in_chunks(self, pieces: list[bytes]) -> list[bytes]:
+        out: list[bytes] = []
+        for a, b in slices(pieces, CHUNK_BYTES):
+            out += self.by_query(pieces[a:b])
         return out
 
     def by_query(self, pieces: list[bytes]) -> list[bytes]:
@@ -123,40 +159,23 @@ class Coder:
         values, ends = ids.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes(), (ids.offsets.to_numpy() * 4).tolist()
         return [values[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
-    def by_heap(self, piece: bytes) -> bytes:
-        tokens = self.bytes_of[np.frombuffer(piece, np.uint8)].tolist()
-        after, before = list(range(1, len(tokens) + 1)), list(range(-1, len(tokens) - 1))
-        end, merged = len(tokens), self.merged
-        heap = [(merged[p], i, *p) for i, p in enumerate(zip(tokens, tokens[1:], strict=False)) if p in merged]
-        heapq.heapify(heap)
-        while heap:
-            rank, i, left, right = heapq.heappop(heap)
-            j = after[i]
-            if tokens[i] != left or j >= end or tokens[j] != right:
-                continue  # one of the two has been contracted meanwhile
-            tokens[i], tokens[j], after[i] = rank, -1, after[j]
-            if after[i] < end:
-                before[after[i]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < end and (pair := (tokens[a], tokens[b])) in merged:
-                    heapq.heappush(heap, (merged[pair], a, *pair))
-        return np.array([t for t in tokens if t >= 0], "<u4").tobytes()
-
     def encode(self, batch: list[str]) -> list[bytes]:
         return self.memo.encode(batch)
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         lengths = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
-        flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
-        out = [b""] * len(ids)
-        if len(flat):
-            pos = (np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
-            self.db.register("tokens", pa.table({"doc": np.repeat(np.arange(len(ids), dtype=np.int32), lengths), "pos": pos, "id": flat}))
+        flat, doc = np.frombuffer(b"".join(ids), "<u4").astype(np.int64), np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
+        out: list[list[bytes]] = [[] for _ in ids]
+        for start in range(0, len(flat), CHUNK_IDS):
+            end = min(start + CHUNK_IDS, len(flat))
+            self.db.register("tokens", pa.table({"doc": doc[start:end], "pos": np.arange(end - start, dtype=np.int32), "id": flat[start:end]}))
             found = self.db.sql(DECODE).to_arrow_table()
             self.db.unregister("tokens")
-            for i, chars in zip(found["doc"].to_pylist(), found["chars"].to_pylist(), strict=True):
-                out[i] = chars.encode("latin-1")
-        return out
+            for i, chars, unknown in zip(*(found[c].to_pylist() for c in ("doc", "chars", "unknown")), strict=True):
+                if unknown:
+                    raise ValueError(f"{unknown} ids are not in the vocabulary")
+                out[i].append(chars.encode("latin-1"))
+        return [b"".join(x) for x in out]
 
 
 def coder(path: str | None = None) -> Coder:

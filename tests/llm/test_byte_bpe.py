@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 
 from hashwood.llm import op2_byte_bpe as B
@@ -24,10 +25,25 @@ def test_equals_library():
     assert coder.decode(ids) == [t.encode() for t in batch]
 
 
-def test_heap_equals_query():
-    rng, coder = random.Random(6), B.coder()
-    pieces = [bytes(rng.choice(b"abcdeinot") for _ in range(rng.randint(2, 60))) for _ in range(500)]
-    assert coder.by_query(pieces) == [coder.by_heap(p) for p in pieces]
+def test_long_pieces_in_segments(monkeypatch):
+    rng, lib, coder = random.Random(6), library(), B.coder()
+    letters = "abcdeinotrs" * 3 + "éß語"
+    batch = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 900))) for _ in range(120)]
+    batch += [c * n for c in ("a", "ab", "tion", "=", " ", "é") for n in (1, 127, 129, 500, 1001)]
+    expected = [lib.encode_ordinary(t) for t in batch]
+    for segment in (128, 16, 3):
+        monkeypatch.setattr(B, "SEGMENT", segment)
+        coder.memo.known.clear()
+        assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(batch)] == expected
+
+
+def test_long_text_and_unknown_id():
+    rng, lib, coder = random.Random(7), library(), B.coder()
+    text = " ".join("".join(rng.choice("abcdeinot") for _ in range(rng.randint(1, 9))) for _ in range(200_000))
+    ids = coder.encode([text, "x"])
+    assert np.frombuffer(ids[0], "<u4").tolist() == lib.encode_ordinary(text) and coder.decode(ids) == [text.encode(), b"x"]
+    with pytest.raises(ValueError, match="vocabulary"):
+        coder.decode([ids[1], np.array([4_000_000_000], "<u4").tobytes()])
 
 
 def test_rows(spark):
