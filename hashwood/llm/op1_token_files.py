@@ -44,19 +44,28 @@ def default_tokenizer() -> str:
 
 
 class Known(dict):
-    """Ids of pieces as the library's model gives them, each asked for once."""
+    """Ids of pieces as the library's model gives them; those that were asked for since the last turn() but one are held."""
 
     def __init__(self, model):
         # Byte-level models see a byte as a printable character: its own where it has one, else the next from 256 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.chars = {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.tokenize = model.tokenize
+        self.tokenize, self.before = model.tokenize, {}
 
     def __missing__(self, piece: str) -> bytes:
-        found = self[piece] = array("I", [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.chars))]).tobytes()
+        if (found := self.before.get(piece)) is None:
+            # Most pieces are a space and ASCII letters, of which only the space has another character.
+            plain = piece[0] == " " and piece.isascii() and piece[1:].isalnum()
+            shown = self.chars[32] + piece[1:] if plain else piece.encode().decode("latin-1").translate(self.chars)
+            found = array("I", [t.id for t in self.tokenize(shown)]).tobytes()
+        self[piece] = found
         return found
 
+    def turn(self) -> None:
+        self.before = dict(self)
+        self.clear()
+
 
 def encoder(path: str | None):
     """Texts to ids as bytes.
@@ -79,8 +88,8 @@ def encoder(path: str | None):
     tokenizer, known, added = _MEMO[path]
 
     def encode(batch: list[str]) -> list[bytes]:
-        if known is not None and len(known) > MEMO_PIECES:
-            known.clear()
+        if known is not None and len(known) > MEMO_PIECES // 2:
+            known.turn()
         out = []
         for text in batch:
             if known is None or ODD(text) or any(x in text for x in added):
@@ -134,14 +143,14 @@ def unpack(row: dict) -> Iterator[tuple]:
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """Per document of the files under path: doc_id, start, n_tokens, ids_crc32."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     files = spark.read.schema(SCHEMA).parquet(path)
     out = "part int, block int, doc_id long, before long, n_tokens long, ids_crc32 long"
     schema = arrow_schema(spark, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            # One block at a time: a batch may hold as many as a split of the files has.
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 found = [(key, at, len(v), zlib.crc32(v.tobytes())) for key, at, v in unpack(row)]
                 columns = dict(zip(("doc_id", "before", "n_tokens", "ids_crc32"), map(list, zip(*found, strict=True)), strict=True))
                 yield as_batch(columns | {k: [row[k]] * len(found) for k in ("part", "block")}, schema)

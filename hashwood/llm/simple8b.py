@@ -35,7 +35,7 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     flat[:n] = values
     padded[:, :MINI] = flat.reshape(rows, MINI)
     if n and int(flat.max()) < 1 << 16:
-        bits = _BITS16[padded]
+        bits = _BITS16.take(padded.astype(np.uint16))
     else:
         bits = bit_lengths(padded)
     selector = np.where(bits[:, :MINI] > 60, ESCAPE, 15).astype(np.uint8)
