@@ -42,7 +42,7 @@ SIGMAS = 5
 MEMO_WORDS = 150_000
 #: Sketches, and shingles of full sets, that a block holds; a group is two blocks.
 BLOCK_SKETCHES, BLOCK_SHINGLES = 500, 1 << 19
-#: Tasks at most that share a bucket where its members meet what is known of it.
+#: Tasks at most that share a bucket or shingle where its members meet what is known of it.
 SALTS = 16
 _U = np.uint64
 _WORDS: dict[bytes, int] = {}
@@ -182,9 +182,9 @@ def _prefixes(shared: DataFrame, labels: DataFrame, sets: DataFrame, num: int, d
     Of two sets with enough in common, the shorter prefix rule holds for both: all but num/den of a set's shingles, and
     one more, rarest first. Shingles that no other undecided class has count, but can't be shared.
     """
-    parts = _in_components(shared, labels).withColumn("salt", F.expr(f"pmod(xxhash64(node), {SALTS})"))
-    open_keys = parts.groupBy("band_key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").selectExpr("band_key", f"explode(sequence(0L, {SALTS - 1}L)) salt")
-    undecided = parts.join(open_keys, ["band_key", "salt"], "left_semi").select("node").distinct()
+    parts = _in_components(shared, labels)
+    open_keys = parts.groupBy("band_key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band_key")
+    undecided = _met(parts, open_keys, "band_key").select("node").distinct()
     each = sets.join(undecided, "node").select("node", F.size("items").alias("n"), F.explode("items").alias("key"))
     common = each.groupBy("key").agg(F.count("*").alias("holders")).where("holders > 1")
     held = each.join(common, "key").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("holders", "key"))).alias("found"))
@@ -193,6 +193,12 @@ def _prefixes(shared: DataFrame, labels: DataFrame, sets: DataFrame, num: int, d
     return held.selectExpr("node", f"explode(slice(found, 1, greatest(0, {length}))) x").selectExpr("x.key", "node")
 
 
+def _met(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """rows of nodes with what is known of their keys, one row each; SALTS tasks share the rows of a key."""
+    salted = rows.withColumn("salt", F.expr(f"pmod(xxhash64(node), {SALTS})"))
+    return salted.join(known.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)"))), [key, "salt"]).drop("salt")
+
+
 def _in_components(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """rows with a component; a node without a link is its own."""
     return rows.join(labels, "node", "left").withColumn("component", F.expr("coalesce(component, node)"))
@@ -208,7 +214,7 @@ def _dealt(members: DataFrame, weight: str, limit: int) -> DataFrame:
     parts = members.groupBy("key", "component").agg(F.sum(F.expr(weight)).alias("w"))
     keys = parts.groupBy("key").agg(F.max(F.struct("w", "component")).alias("most"), F.sum("w").alias("w")).where("most.w < w")
     sized = keys.selectExpr("key", "most.component main", f"cast(ceil((w - most.w) / {limit}) as int) apart", f"cast(ceil(most.w / {limit}) as int) inside")
-    rows = members.join(sized, "key").selectExpr("key", "node", "component", "apart", "inside", "component = main AS is_main", "cast(if(component = main, apart + pmod(xxhash64(node), inside), pmod(xxhash64(node), apart)) as int) block")
+    rows = _met(members, sized, "key").selectExpr("key", "node", "component", "apart", "inside", "component = main AS is_main", "cast(if(component = main, apart + pmod(xxhash64(node), inside), pmod(xxhash64(node), apart)) as int) block")
     met = rows.withColumn("other", F.explode(F.expr("sequence(0, if(is_main, apart, apart + inside) - 1)")))
     return met.selectExpr("key", "least(block, other) x", "greatest(block, other) y", "block", "node", "component")
 
