@@ -135,3 +135,7 @@ def blocks(rows: Iterator, size: int) -> Iterator[list]:
 def key128(*columns: Column | str) -> Column:
     """128 hash bits of columns as a string of fixed length, nulls told from empty strings."""
     return F.md5(F.to_json(F.struct(*columns)))
+
+
+#: DuckDB SQL for a text in which only A to Z are lowered, a null one being empty.
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

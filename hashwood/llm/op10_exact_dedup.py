@@ -315,3 +315,28 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         return {"doc_id": batch.column(0), "n_bytes": [len(x) for x in raw], "n_removed": [sum(s[1::2]) - sum(s[::2]) for s in spans], "n_spans": [len(s) // 2 for s in spans], "kept_sha256": [hashlib.sha256(_kept(x, s)).hexdigest() for x, s in zip(raw, spans, strict=True)]}
 
     return mapped_texts(_with_spans(docs.select("doc_id", "text")), rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+SQL = """
+WITH docs AS MATERIALIZED (
+    SELECT row_number() OVER () AS row_no, doc_id, encode(coalesce(text, '')) AS raw FROM documents
+), places AS (
+    SELECT row_no, pos, md5(raw[pos:pos + 199]) AS h FROM (SELECT row_no, raw, unnest(range(1, octet_length(raw) - 198)) AS pos FROM docs)
+), repeated AS (
+    SELECT row_no, pos FROM (SELECT row_no, pos, count(*) OVER (PARTITION BY h) AS n FROM places) WHERE n > 1
+), islands AS (
+    SELECT row_no, pos, sum(is_new::INT) OVER (PARTITION BY row_no ORDER BY pos) AS island
+    FROM (SELECT row_no, pos, coalesce(pos > lag(pos) OVER (PARTITION BY row_no ORDER BY pos) + 200, true) AS is_new FROM repeated)
+), spans AS (
+    SELECT row_no, min(pos) AS first, max(pos) + 200 AS past FROM islands GROUP BY row_no, island
+), gaps AS (
+    SELECT row_no, coalesce(lag(past) OVER (PARTITION BY row_no ORDER BY first), 1) AS low, first AS high FROM spans
+    UNION ALL SELECT d.row_no, coalesce(max(s.past), 1), octet_length(d.raw) + 1 FROM docs d LEFT JOIN spans s USING (row_no) GROUP BY d.row_no, d.raw
+), kept AS (
+    SELECT row_no, unhex(string_agg(hex(CASE WHEN high > low THEN raw[low:high - 1] ELSE ''::BLOB END), '' ORDER BY low)) AS rest FROM gaps JOIN docs USING (row_no) GROUP BY row_no
+), sums AS (
+    SELECT row_no, sum(past - first) AS n_removed, count(*) AS n_spans FROM spans GROUP BY row_no
+)
+SELECT doc_id, octet_length(raw)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(rest) AS kept_sha256
+FROM docs JOIN kept USING (row_no) LEFT JOIN sums USING (row_no)
+"""

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, arrow_schema, as_batch, drop_written, mapped, mapped_texts, only, texts, written
+from .common import BATCH_ROWS, LOWERED, arrow_schema, as_batch, drop_written, mapped, mapped_texts, only, texts, written
 from .components import components
 
 BUCKETS, MANTISSA = 256, 10
@@ -366,3 +366,33 @@ def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> D
         key = ["doc_id", "text_hash"]
         left = left.join(several, key, "left_anti").unionByName(left.join(several, key, "left_semi").dropDuplicates(key))
     return left.select("row.*")
+
+
+#: Sets of three words, linked from 85 in 100; equal texts stand for each other.
+SQL = rf"""
+WITH RECURSIVE texts AS MATERIALIZED (
+    SELECT text, min(doc_id) AS head FROM documents WHERE doc_id IS NOT NULL GROUP BY text
+), split AS (
+    SELECT head, regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM texts
+), sets AS MATERIALIZED (
+    SELECT head, list_distinct(list_transform(range(1, greatest(1, len(w) - 2)::BIGINT + 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS items
+    FROM split WHERE len(w) > 0
+), items AS MATERIALIZED (
+    SELECT head, unnest(items) AS item FROM sets
+), links AS MATERIALIZED (
+    SELECT a, b FROM (SELECT x.head AS a, y.head AS b, count(*) AS common FROM items x JOIN items y ON x.item = y.item AND x.head < y.head GROUP BY ALL)
+    JOIN (SELECT head AS a, len(items) AS n_a FROM sets) USING (a) JOIN (SELECT head AS b, len(items) AS n_b FROM sets) USING (b)
+    WHERE 100 * common >= 85 * (n_a + n_b - common)
+), both_ways AS MATERIALIZED (
+    SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+    SELECT a AS node, a AS other FROM both_ways UNION SELECT r.node, l.b FROM reach r JOIN both_ways l ON l.a = r.other
+), heads AS (
+    SELECT node AS head, min(other) AS component FROM reach GROUP BY node
+)
+SELECT d.doc_id, coalesce(len(s.items), 0)::BIGINT AS n_shingles,
+       CASE WHEN s.items IS NULL THEN d.doc_id ELSE coalesce(h.component, t.head) END AS component_id,
+       d.doc_id IS NOT DISTINCT FROM CASE WHEN s.items IS NULL THEN d.doc_id ELSE coalesce(h.component, t.head) END AS kept
+FROM documents d LEFT JOIN texts t ON t.text IS NOT DISTINCT FROM d.text AND d.doc_id IS NOT NULL
+LEFT JOIN sets s ON s.head = t.head LEFT JOIN heads h ON h.head = t.head
+"""

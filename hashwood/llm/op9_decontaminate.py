@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import BATCH_ROWS, arrow_schema, as_batch, drop_written, texts, written
+from .common import BATCH_ROWS, LOWERED, arrow_schema, as_batch, drop_written, texts, written
 from .pieces import slices
 
 WINDOW = 10
@@ -261,3 +261,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
+
+
+SQL = rf"""
+WITH docs AS MATERIALIZED (
+    SELECT row_number() OVER () AS row_no, doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (
+    SELECT coalesce(item_id::VARCHAR, 'null') AS item_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS MATERIALIZED (
+    SELECT DISTINCT item_id, least(len(w), 10) AS size, unnest(list_transform(range(1, greatest(1, len(w) - 9)::BIGINT + 1), lambda i: array_to_string(w[i:i + 9], ' '))) AS words
+    FROM items WHERE len(w) > 0
+), sizes AS (
+    SELECT DISTINCT size FROM windows
+), places AS (
+    SELECT row_no, size, unnest(range(1, len(w) - size + 2)) AS place, w FROM docs JOIN sizes ON len(w) >= size
+), hits AS MATERIALIZED (
+    SELECT p.row_no, p.place, p.size, x.item_id FROM (SELECT row_no, size, place, array_to_string(w[place:place + size - 1], ' ') AS words FROM places) p JOIN windows x ON x.words = p.words AND x.size = p.size
+), covered AS (
+    SELECT row_no, count(DISTINCT pos) AS n_hit FROM (SELECT row_no, unnest(range(place, place + size)) AS pos FROM hits) GROUP BY row_no
+), found AS (
+    SELECT row_no, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT row_no, item_id FROM hits) GROUP BY row_no
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN covered USING (row_no) LEFT JOIN found USING (row_no)
+"""

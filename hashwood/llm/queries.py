@@ -39,11 +39,11 @@ def op7_warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op8_near_dedup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), size=3, num=85, den=100)
+    return op8_near_dedup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), size=3, num=85, den=100).drop("text_hash")
 
 
 def op9_decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op9_decontaminate.scan(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return op9_decontaminate.scan(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")).drop("longest_match", "hit_runs")
 
 
 def op10_exact_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,4 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op7_warc": op7_warc.SQL,
+    "op8_near_dedup": op8_near_dedup.SQL,
+    "op9_decontaminate": op9_decontaminate.SQL,
+    "op10_exact_dedup": op10_exact_dedup.SQL,
 }
