@@ -10,6 +10,11 @@ from . import op1_token_files, op2_byte_bpe, op3_toxicity, op4_fingerprint, op5_
 from .common import table
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The key of surrogates: a setting whose name makes Spark redact its value; the queries here do with a public one."""
+    return spark.conf.get("spark.hashwood.pii.secret", "public key of the queries")
+
+
 def op1_token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_token_files.token_files(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -27,7 +32,7 @@ def op4_fingerprint_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op5_pii.pii(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return op5_pii.pii(table(spark, sf_dir, "documents", "doc_id", "text"), pii_key(spark))
 
 
 def op6_secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
