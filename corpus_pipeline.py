@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hashwood.llm import op2_byte_bpe, op3_toxicity, op5_pii, op8_near_dedup, op9_decontaminate
+from hashwood.llm import op2_byte_bpe, op3_toxicity, op5_pii, op8_near_dedup, op9_decontaminate, queries
 from hashwood.llm.common import written
 
 
@@ -31,7 +31,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with surrogates for personal data and n_chars as it then is."""
-    found = op5_pii.surrogates(docs)
+    found = op5_pii.surrogates(docs, queries.pii_key(spark))
     return found.selectExpr(*("char_length(text) n_chars" if c == "n_chars" else f"`{c}`" for c in docs.columns)).to(docs.schema)
 
 
