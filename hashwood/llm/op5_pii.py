@@ -37,24 +37,26 @@ GIVEN = {
 }
 _TITLES, _GIVENS = "|".join([*TITLES.values(), NEUTRAL]), "|".join(GIVEN.values())
 _NAME = r"\p{Lu}[\p{L}\p{M}'’-]+"
+# Each part begins with what a single character rules out, as most places of a text are none of these.
 PATTERN = "|".join(
     [
         rf"(?<!{_PART}){_PART}++@[\p{{L}}\p{{N}}-]++(?:\.[\p{{L}}\p{{N}}-]++)+",
-        rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
-        r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
-        r"(?<![0-9A-Za-z:])(?=[A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}(?![0-9A-Za-z:])",
-        r"(?<![0-9A-Za-z])[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9A-Za-z])",
-        r"(?<![0-9A-Za-z])[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}(?![0-9A-Za-z])",
-        r"(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])",
-        r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-        r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![0-9])",
-        r"(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])",
-        r"(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
-        r"(?<![0-9.])[0-9]{3}\.[0-9]{3}\.[0-9]{4}(?![0-9]|\.[0-9])",
-        r"(?<![0-9/.,-])0[1-9][0-9]{1,3}[ /][0-9]{6,8}(?![0-9/-])",
-        r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![0-9A-Za-z])",
-        r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?(?![0-9A-Za-z])",
-        rf"(?<!\p{{L}})(?:(?:{_TITLES})\.? {_NAME}(?: {_NAME})?|(?:{_GIVENS}) {_NAME})",
+        "(?=[0-9(+])(?:"
+        + "|".join(
+            [
+                rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
+                r"(?<![0-9A-Za-z])(?:[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19})(?![0-9A-Za-z])",
+                r"(?<![0-9-])[0-9]{3}-[0-9]{2,3}-[0-9]{4}(?![0-9-])",
+                r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![0-9])",
+                r"(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])",
+                r"(?<![0-9.])[0-9]{3}\.[0-9]{3}\.[0-9]{4}(?![0-9]|\.[0-9])",
+                r"(?<![0-9/.,-])0[1-9][0-9]{1,3}[ /][0-9]{6,8}(?![0-9/-])",
+            ]
+        )
+        + ")",
+        r"(?<![0-9A-Za-z:])(?=[0-9A-Fa-f]{0,4}:)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})(?![0-9A-Za-z:])",
+        r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![0-9A-Za-z])",
+        rf"(?=\p{{Lu}})(?<!\p{{L}})(?:(?:{_TITLES})\.? {_NAME}(?: {_NAME})?|(?:{_GIVENS}) {_NAME})",
     ]
 )
 # Letters of the scripts that names keep, vowels first so that names can be spoken.
@@ -211,12 +213,17 @@ def replaced_sql(m: str, attempts: str, surrogate=surrogate_sql) -> str:
 
 
 def with_candidates(texts: DataFrame) -> DataFrame:
-    return texts.withColumn("found", F.expr(f"if(text RLIKE '[0-9@]|{_TITLES}|{_GIVENS}', regexp_extract_all(text, {_q(PATTERN)}, 0), array())"))
+    return texts.withColumn("found", F.expr(f"coalesce(regexp_extract_all(text, {_q(PATTERN)}, 0), array())"))
 
 
-def entities(docs: DataFrame) -> DataFrame:
-    """Distinct (kind, entity) over all texts."""
-    found = with_candidates(docs.select("text")).where("size(found) > 0").select(F.explode("found").alias("m")).distinct()
+def candidates(docs: DataFrame) -> DataFrame:
+    """digest (MD5) and found, of the texts that have any."""
+    return with_candidates(docs.select("text")).where("size(found) > 0").select(F.md5("text").alias("digest"), "found")
+
+
+def entities(searched: DataFrame) -> DataFrame:
+    """Distinct (kind, entity) over all candidates."""
+    found = searched.select(F.explode("found").alias("m")).distinct()
     return found.select(F.expr(f"inline({parts_sql('m')})")).distinct()
 
 
@@ -243,13 +250,14 @@ def replaced(docs: DataFrame, key: str, surrogate=surrogate_sql) -> DataFrame:
     """row (a struct of the columns of docs), text with surrogates, and kinds, of the candidates in order (null for one that failed its check)."""
     # The caller's columns travel in one struct, so that none of their names can clash.
     found = with_candidates(docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text")))
-    higher = written(attempts(entities(docs), key, surrogate), "attempts")
+    searched = written(candidates(docs), "candidates")
+    higher = written(attempts(entities(searched), key, surrogate), "attempts")
     none = "cast(map() as map<string, int>)"
     if higher.isEmpty():
         found = found.withColumn("attempts", F.expr(none))
     else:
         # By text, as equal texts need the same attempts; a digest stands for it.
-        inside = with_candidates(docs.select("text")).where("size(found) > 0").select(F.md5("text").alias("digest"), F.expr(f"inline(flatten(transform(found, m -> {parts_sql('m')})))"))
+        inside = searched.select("digest", F.expr("explode(found) m")).distinct().select("digest", F.expr(f"inline({parts_sql('m')})"))
         by_text = inside.distinct().join(higher, ["kind", "entity"]).groupBy("digest").agg(F.expr("map_from_entries(collect_list(struct(concat(kind, ' ', entity), attempt)))").alias("attempts"))
         by_text = written(by_text, "attempts")
         if by_text.count() <= BROADCAST_TEXTS:

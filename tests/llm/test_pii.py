@@ -65,7 +65,7 @@ def test_clashes_are_resolved(spark):
     texts = [f"call +1 (3{i:02}) 555-37{j:02}; again +1 (3{i:02}) 555-37{j:02}" for i in range(8) for j in range(8)]
     docs = frame(spark, texts)
     short = lambda kind, entity, attempt: f"concat('+1', pmod(xxhash64({entity}, {attempt}), 100) + 1000000000)"
-    found = P.entities(docs)
+    found = P.entities(P.candidates(docs))
     higher = {(r.kind, r.entity): r.attempt for r in P.attempts(found, "k", short).collect()}
     assert higher
     rows = found.collect()
