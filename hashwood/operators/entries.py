@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.mergers import merge_values
-from .spec import TreeError, TreeSpec
+from .spec import TreeError, TreeSpec, in_order, orderable
 
 
 def build(source: DataFrame, spec: TreeSpec) -> DataFrame:
@@ -46,16 +46,12 @@ def last(entries: DataFrame, spec: TreeSpec = TreeSpec()) -> DataFrame:
 
 def last_n(entries: DataFrame, n: int, below=None, spec: TreeSpec = TreeSpec()) -> DataFrame:
     """The n largest keys, strictly below a bound if one is given, ascending."""
-    found = entries if below is None else entries.where(F.col("key") < F.lit(below))
-    return found.select("key", "value").orderBy(spec.order().desc()).limit(n).orderBy(spec.order())
+    return spec.bounded(entries, "<", below).select("key", "value").orderBy(spec.order().desc()).limit(n).orderBy(spec.order())
 
 
-def key_range(entries: DataFrame, lo=None, hi=None) -> DataFrame:
-    """Entries between two keys, both included; None leaves an end open."""
-    found = entries.select("key", "value")
-    if lo is not None:
-        found = found.where(F.col("key") >= F.lit(lo))
-    return found if hi is None else found.where(F.col("key") <= F.lit(hi))
+def key_range(entries: DataFrame, lo=None, hi=None, spec: TreeSpec = TreeSpec()) -> DataFrame:
+    """Entries between two keys, both included, in the tree's order; None leaves an end open."""
+    return spec.bounded(spec.bounded(entries.select("key", "value"), ">=", lo), "<=", hi)
 
 
 def to_list(entries: DataFrame, spec: TreeSpec = TreeSpec()) -> DataFrame:
@@ -86,7 +82,7 @@ def positions(entries: DataFrame, spec: TreeSpec = TreeSpec()) -> DataFrame:
 
 def select(entries: DataFrame, *, first=None, stop=None, match: Column | str | None = None, keys_only: bool = False, limit: int | None = None, spec: TreeSpec = TreeSpec()) -> DataFrame:
     """What a fold goes over: keys from first to stop that match, at most limit of them in key order."""
-    found = key_range(entries, first, stop)
+    found = key_range(entries, first, stop, spec)
     if match is not None:
         found = found.where(match)
     if limit is not None:
@@ -107,9 +103,10 @@ def fold_ordered(entries: DataFrame, zero: Column, step: Callable[[Column, Colum
     An ordered fold is one value carried through all entries, so they meet in one task: give a limit or a range for a
     large tree, or use fold() where order doesn't matter.
     """
-    chosen = select(entries, **options)
-    rows = F.array_sort(F.collect_list(F.struct(*chosen.columns)))
-    return chosen.agg(F.aggregate(rows, zero, step).alias("result"))
+    chosen, spec = select(entries, **options), options.get("spec", TreeSpec())
+    plain_order = all(orderable(f.dataType) for f in chosen.schema.fields)
+    rows = in_order(F.collect_list(F.struct(spec.order().alias("ord"), F.struct(*chosen.columns).alias("entry"))), plain_order)
+    return chosen.agg(F.aggregate(rows, zero, lambda acc, e: step(acc, e["entry"])).alias("result"))
 
 
 def foreach(entries: DataFrame, function: Callable, ordered: bool = True, **options) -> int:
@@ -120,7 +117,7 @@ def foreach(entries: DataFrame, function: Callable, ordered: bool = True, **opti
     chosen = select(entries, **options)
     if ordered:
         n = 0
-        for row in chosen.orderBy("key").toLocalIterator():
+        for row in chosen.orderBy(options.get("spec", TreeSpec()).order()).toLocalIterator():
             function(row)
             n += 1
         return n

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.encoding import ABSENT, digest, level_of, prefixed
 from ..sources.tables import hadoop_path, new_path, written
-from .spec import TreeSpec, text_of
+from .spec import TreeSpec, in_order, orderable, text, text_of
 
 
 def with_levels(entries: DataFrame, spec: TreeSpec = TreeSpec()) -> DataFrame:
@@ -95,8 +95,8 @@ def pages(entries: DataFrame, spec: TreeSpec = TreeSpec()) -> DataFrame:
             here = here.join(next_of, ["tree", "key"], "left").join(low_of, ["tree", "key"], "left")
         else:
             here = here.withColumns({"next": F.lit(None).cast("string"), "low": F.lit(None).cast("string")})
-        text = F.concat(prefixed(F.col("key_text")), prefixed(F.col("value_text")), prefixed(F.col("next")))
-        members = F.array_sort(F.collect_list(F.struct("ord", "key", "value", "next", text.alias("text"))))
+        said = F.concat(prefixed(F.col("key_text")), prefixed(F.col("value_text")), prefixed(F.col("next")))
+        members = in_order(F.collect_list(F.struct("ord", "key", "value", "next", said.alias("text"))), orderable(found.schema["value"].dataType))
         # Only a page's first key can own a low pointer.
         made = here.groupBy("tree", "level", "page", "low_of", "after_key").agg(members.alias("members"), F.max("low").alias("low"))
         body = F.concat(F.col("level").cast("string"), F.lit("|"), F.coalesce("low", F.lit(ABSENT)), F.lit("|"), F.array_join(F.transform("members", lambda m: m["text"]), ""))
@@ -148,6 +148,7 @@ def dump(built: DataFrame, spec: TreeSpec = TreeSpec()) -> DataFrame:
     while not depth.isEmpty():
         depth = written(depth.join(pointers, F.col("hash") == F.col("parent")).select(F.col("child").alias("hash"), (F.col("depth") + 1).alias("depth")).distinct(), "depth")
         found.append(depth)
-    entries = F.array_join(F.transform("entries", lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"].cast("string"))), ", ")
+    kind = built.schema["entries"].dataType.elementType["value"].dataType
+    entries = F.array_join(F.transform("entries", lambda e: F.concat(e["key"].cast("string"), F.lit("="), F.coalesce(text(e["value"], kind), F.lit("null")))), ", ")
     line = F.concat(F.repeat(F.lit("  "), F.col("depth")), F.substring("hash", 1, 8), F.lit(" ("), F.col("level").cast("string"), F.lit("): "), entries)
     return built.join(reduce(DataFrame.unionByName, found), "hash").select("first_key", "depth", line.alias("line")).orderBy("first_key")

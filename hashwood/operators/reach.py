@@ -50,3 +50,30 @@ def missing_set(built: DataFrame, root) -> DataFrame:
 def entries_at(built: DataFrame, root) -> DataFrame:
     """The entries of any root that the pages hold; none for an unknown one."""
     return page_entries(reachable(built, root)).select("key", "value")
+
+
+def entries_between(built: DataFrame, root, spec, lo=None, hi=None) -> DataFrame:
+    """Entries under a root between two keys, both included: only pages whose span of keys meets these are read, a round per level."""
+    frontier, found = as_hashes(built.sparkSession, root), []
+    narrow = built.select("hash", "low", "entries")
+    while True:
+        # Content addresses make no cycles, so this ends below the last level.
+        here = written(narrow.join(frontier, "hash", "left_semi").dropDuplicates(["hash"]), "descent")
+        if here.isEmpty():
+            break
+        found.append(spec.bounded(spec.bounded(here.select(F.explode("entries").alias("e")).select("e.key", "e.value"), ">=", lo), "<=", hi))
+        low = here.where("low is not null").select(F.col("low").alias("child"), F.lit(None).cast(here.schema["entries"].dataType.elementType["key"].dataType).alias("over"), F.expr("entries[0].key").alias("under"))
+        after = here.select(F.posexplode("entries").alias("i", "e"), "entries").where("e.next is not null").select(F.col("e.next").alias("child"), F.col("e.key").alias("over"), F.expr("try_element_at(entries, i + 2).key").alias("under"))
+        children = low.unionByName(after)
+        met = _or_open(spec, _or_open(spec, children, "under", ">", lo), "over", "<", hi)
+        frontier = met.select(F.col("child").alias("hash")).distinct()
+    return reduce(DataFrame.unionByName, found) if found else built.select(F.explode("entries").alias("e")).select("e.key", "e.value").limit(0)
+
+
+def _or_open(spec, children: DataFrame, name: str, comparison: str, bound) -> DataFrame:
+    """Children whose bound by that name is open or stands in the comparison."""
+    if bound is None:
+        return children
+    others = [c for c in children.columns if c != name]
+    closed = spec.bounded(children.where(F.col(name).isNotNull()).withColumnRenamed(name, "key"), comparison, bound).withColumnRenamed("key", name)
+    return children.where(F.col(name).isNull()).select(*others, name).unionByName(closed.select(*others, name))

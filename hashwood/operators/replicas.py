@@ -19,12 +19,12 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.encoding import ABSENT, canonical, digest, prefixed
+from ..functions.encoding import ABSENT, digest, prefixed
 from ..functions.mergers import merge_values
 from ..sources.stores import SnapshotStore, Store
 from ..sources.tables import written
 from .pages import pages, roots
-from .spec import TreeError, TreeSpec
+from .spec import TreeError, TreeSpec, text
 from .tree import MerkleTree
 
 
@@ -49,12 +49,8 @@ class Transport(Protocol):
 def page_digests(built: DataFrame, algorithm: str) -> DataFrame:
     """Pages with the hash that their contents have, as column actual."""
     kind = built.schema["entries"].dataType.elementType
-    names = kind["key"].dataType.names if hasattr(kind["key"].dataType, "names") else None
-    value_names = kind["value"].dataType.names if hasattr(kind["value"].dataType, "names") else None
-    text = lambda c, inner: canonical([c[n] for n in inner] if inner else [c])
-    nested = value_names and any(hasattr(f.dataType, "elementType") for f in kind["value"].dataType.fields)
-    value = (lambda e: F.to_json(e["value"])) if nested else (lambda e: text(e["value"], value_names))
-    body = F.array_join(F.transform("entries", lambda e: F.concat(prefixed(text(e["key"], names)), prefixed(value(e)), prefixed(e["next"]))), "")
+    text_in = lambda e, name: prefixed(text(e[name], kind[name].dataType))
+    body = F.array_join(F.transform("entries", lambda e: F.concat(text_in(e, "key"), text_in(e, "value"), prefixed(e["next"]))), "")
     return built.withColumn("actual", digest(F.concat(F.col("level").cast("string"), F.lit("|"), F.coalesce("low", F.lit(ABSENT)), F.lit("|"), body), algorithm))
 
 

@@ -70,12 +70,45 @@ class TreeSpec:
     def order(self) -> Column:
         return F.expr(self.sort_key) if self.sort_key else F.col("key")
 
+    def bounded(self, rows: DataFrame, comparison: str, bound) -> DataFrame:
+        """Rows whose key stands in a comparison (<, <=, >, >=) with a bound, a value or a column, in the tree's order."""
+        if bound is None:
+            return rows
+        if not self.sort_key:
+            key, limit = F.col("key"), F.lit(bound)
+            return rows.where({"<": key < limit, "<=": key <= limit, ">": key > limit, ">=": key >= limit}[comparison])
+        held = rows.withColumn("bound_of_keys", F.lit(bound))
+        return held.where(f"({self.sort_key}) {comparison} transform(array(bound_of_keys), key -> {self.sort_key})[0]").drop("bound_of_keys")
+
+
+def plain(column: Column, kind: DataType) -> Column:
+    """A value in which maps are arrays of entries by key, so that its JSON doesn't depend on an order within a map."""
+    if isinstance(kind, MapType):
+        entries = F.transform(F.map_entries(column), lambda e: F.struct(plain(e["key"], kind.keyType).alias("key"), plain(e["value"], kind.valueType).alias("value")))
+        # Keys of a map are distinct, so that sorting by them alone is an order.
+        return F.array_sort(entries, lambda x, y: F.when(x["key"] < y["key"], -1).when(x["key"] > y["key"], 1).otherwise(0))
+    if isinstance(kind, ArrayType):
+        return F.transform(column, lambda x: plain(x, kind.elementType)) if nested(kind.elementType) else column
+    if isinstance(kind, StructType) and any(nested(f.dataType) for f in kind.fields):
+        return F.when(column.isNotNull(), F.struct(*[plain(column[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return column
+
+
+def nested(kind: DataType) -> bool:
+    return isinstance(kind, (StructType, ArrayType, MapType))
+
+
+def text(column: Column, kind: DataType) -> Column:
+    """The canonical text of a key or value."""
+    if isinstance(kind, StructType) and not any(nested(f.dataType) for f in kind.fields):
+        return canonical([column[f.name] for f in kind.fields])
+    return F.to_json(plain(column, kind)) if nested(kind) else canonical([column])
+
 
 def text_of(frame: DataFrame, name: str) -> Column:
-    """The canonical text of a key or value column."""
-    kind = frame.schema[name].dataType
-    if isinstance(kind, StructType) and all(not isinstance(f.dataType, (StructType, ArrayType, MapType)) for f in kind.fields):
-        return canonical([F.col(f"{name}.{f.name}") for f in kind.fields])
-    if isinstance(kind, (StructType, ArrayType, MapType)):
-        return F.to_json(F.col(name))
-    return canonical([F.col(name)])
+    return text(F.col(name), frame.schema[name].dataType)
+
+
+def in_order(rows: Column, orderable_rows: bool) -> Column:
+    """An array of structs by their first field, ord, which tells them apart."""
+    return F.array_sort(rows) if orderable_rows else F.array_sort(rows, lambda x, y: F.when(x["ord"] < y["ord"], -1).when(x["ord"] > y["ord"], 1).otherwise(0))

@@ -12,7 +12,7 @@ from ..sources.stores import MemoryStore, Store
 from . import combine
 from . import entries as reads
 from .pages import dump, pages, roots
-from .reach import walk
+from .reach import entries_between, walk
 from .spec import TreeError, TreeSpec
 
 
@@ -35,6 +35,59 @@ class MerkleTree:
         """(key, value) under a root; None before the first put."""
         return self.store.entries(root)
 
+    def _there(self) -> DataFrame:
+        found = self.store.list()
+        if found is None or self.root() is None:
+            raise TreeError("the tree is empty")
+        return found
+
+    # Reads of the current root. Those by key descend: a round per level, over the pages that lead there.
+    def get(self, key) -> DataFrame:
+        """The entry of a key (a value, or a column for a composite one), or no row."""
+        return self.range(key, key)
+
+    def multi_get(self, keys: DataFrame) -> DataFrame:
+        self._there()
+        return reads.multi_get(self.entries(), keys)
+
+    def range(self, lo=None, hi=None) -> DataFrame:
+        """Entries between two keys, both included."""
+        return entries_between(self._there(), self.root(), self.spec, lo, hi)
+
+    def _end(self, last: bool) -> DataFrame:
+        """The entry at an end: one page per level, followed on the driver."""
+        there, now = self._there(), self.root()
+        while True:
+            page = there.where(F.col("hash") == now).limit(1)
+            onward = page.select(F.expr("element_at(entries, -1).next") if last else F.col("low")).first()[0]
+            if onward is None:
+                return page.select(F.expr(f"element_at(entries, {-1 if last else 1})").alias("e")).select("e.key", "e.value")
+            now = onward
+
+    def first(self) -> DataFrame:
+        return self._end(False)
+
+    def last(self) -> DataFrame:
+        return self._end(True)
+
+    def last_n(self, n: int, below=None) -> DataFrame:
+        return reads.last_n(self.range(None, below), n, below, self.spec)
+
+    def to_list(self) -> DataFrame:
+        return reads.to_list(self.range(), self.spec)
+
+    def keys(self) -> DataFrame:
+        return reads.keys(self.range(), self.spec)
+
+    def fold(self, *aggregates, **options) -> DataFrame:
+        return reads.fold(self.range(options.get("first"), options.get("stop")), *aggregates, spec=self.spec, **options)
+
+    def fold_ordered(self, zero, step, **options) -> DataFrame:
+        return reads.fold_ordered(self.range(options.get("first"), options.get("stop")), zero, step, spec=self.spec, **options)
+
+    def foreach(self, function: Callable, ordered: bool = True, **options) -> int:
+        return reads.foreach(self.range(options.get("first"), options.get("stop")), function, ordered, spec=self.spec, **options)
+
     def pages(self) -> DataFrame | None:
         now = self.root()
         return None if now is None else self.store.list_root(now)

@@ -7,6 +7,7 @@ blocks of a thousand keys, with blocks that several trees share; together they h
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from ..functions.encoding import level_of
 from ..operators import combine, pages, replicas
 from ..operators import entries as reads
 from ..operators.spec import TreeSpec
+from ..operators.tree import MerkleTree
 from ..sources.stores import SnapshotStore
 from ..sources.tables import written
 from ..streaming import gossip
@@ -483,6 +485,67 @@ def grove_awset(spark, sf_dir):
     return merged.select("key", F.array_join(awset.elements(F.col("value")), ",").alias("elements"), F.size("value.ctx").alias("actors"))
 
 
+UNION_SQL = "SELECT 0 AS tree, user_id AS key, list_sort(list(DISTINCT event_type)) AS value FROM events GROUP BY user_id"
+UNION_TEXT = "'[' || list_reduce(list_transform(value, lambda x: '\"' || x || '\"'), lambda a, b: a || ',' || b) || ']'"
+COUNTER_SQL = "SELECT 0 AS tree, user_id AS key, list({'k': event_type, 'n': n} ORDER BY event_type) AS value FROM (SELECT user_id, event_type, max(event_id) AS n FROM events GROUP BY ALL) GROUP BY user_id"
+COUNTER_TEXT = "'[' || list_reduce(list_transform(value, lambda x: '{\"key\":\"' || x.k || '\",\"value\":' || x.n || '}'), lambda a, b: a || ',' || b) || ']'"
+PAIR_SQL = "SELECT 'p' || r AS replica, (SELECT count(*) FROM t_e) AS n_entries, root FROM t_roots, (VALUES (1), (2)) AS x(r)"
+
+
+def exchanged(spark, parts: list[DataFrame], spec: TreeSpec) -> DataFrame:
+    """Two replicas with a part each, after the first has triggered the second."""
+    network, members = group(spark, spec)
+    network.members.pop("p3")
+    for m, part in zip(members, parts, strict=False):
+        m.put(part, broadcast=False)
+    members[0].trigger("p2")
+    network.run()
+    return state(spark, members[:2])
+
+
+@query("grove_set_union", with_tree(UNION_SQL, PAIR_SQL, value_text=UNION_TEXT))
+def grove_set_union(spark, sf_dir):
+    """Array values travel as pages and are merged."""
+    rows = read(spark, sf_dir, "events").withColumn("types", F.array("event_type"))
+    return exchanged(spark, [rows.where(f"event_id % 2 = {i}") for i in (0, 1)], TreeSpec(("user_id",), ("types",), "set_union"))
+
+
+@query("grove_counter", with_tree(COUNTER_SQL, PAIR_SQL, value_text=COUNTER_TEXT))
+def grove_counter(spark, sf_dir):
+    """Map values travel as pages and are merged; a root doesn't depend on the order within a map."""
+    rows = read(spark, sf_dir, "events").withColumn("seen", F.create_map("event_type", "event_id"))
+    return exchanged(spark, [rows.where(f"event_id % 2 = {i}") for i in (0, 1)], TreeSpec(("user_id",), ("seen",), "counter_max"))
+
+
+DOWN = TreeSpec(("o_orderkey",), ("o_custkey",), "max", sort_key="-key")
+
+
+@query("mst_sort_key", "SELECT string_agg(key::VARCHAR || ':' || value::VARCHAR, ',' ORDER BY key DESC) AS result FROM (SELECT o_orderkey AS key, max(o_custkey) AS value FROM orders WHERE o_orderkey BETWEEN 40 AND 90 GROUP BY 1)")
+def mst_sort_key(spark, sf_dir):
+    """An ordered fold in a configured order, from 90 down to 40."""
+    step = lambda acc, e: F.concat(acc, F.when(acc != "", ",").otherwise(""), e["key"].cast("string"), F.lit(":"), e["value"].cast("string"))
+    return reads.fold_ordered(orders(spark, sf_dir, spec=DOWN), F.lit(""), step, first=90, stop=40, spec=DOWN)
+
+
+@query("mst_tree_get", "SELECT what, o_orderkey AS key, o_custkey AS value FROM orders JOIN (VALUES ('get', 1234, 1234), ('range', 50, 120)) AS x(what, lo, hi) ON o_orderkey BETWEEN lo AND hi UNION ALL SELECT 'first', min(o_orderkey), arg_min(o_custkey, o_orderkey) FROM orders UNION ALL SELECT 'last', max(o_orderkey), arg_max(o_custkey, o_orderkey) FROM orders")
+def mst_tree_get(spark, sf_dir):
+    """Reads through a tree's pages."""
+    held = MerkleTree(spark, VALUES)
+    held.put(read(spark, sf_dir, "orders"))
+    found = {"get": held.get(1234), "range": held.range(50, 120), "first": held.first(), "last": held.last()}
+    parts = [df.select(F.lit(name).alias("what"), "key", "value") for name, df in found.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("grove_stream_spread", "SELECT r AS replica, user_id AS key, max(event_id) AS value FROM events, (VALUES (0), (1), (2)) AS x(r) GROUP BY 1, 2")
+def grove_stream_spread(spark, sf_dir):
+    """What is put at one replica reaches all."""
+    table = read(spark, sf_dir, "events")
+    events = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/events.parquet*")
+    puts = events.selectExpr("cast(event_id % 3 as int) replica", "user_id key", "event_id value")
+    return gossip.final_state(gossip.spread(puts, [0, 1, 2]), "max")
+
+
 @query("grove_stream", "SELECT (event_id % 3)::INT AS replica, user_id AS key, max(event_id) AS value FROM events GROUP BY 1, 2")
 def grove_stream(spark, sf_dir):
     table = read(spark, sf_dir, "events")

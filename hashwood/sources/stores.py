@@ -5,7 +5,8 @@ commits; they serve as epochs. A page that a commit frees stays until a collecti
 mark, so earlier roots can be read meanwhile. Marks are kept apart from pages and never travel with them.
 
 MemoryStore drops freed pages at once; SnapshotStore keeps them; ParquetStore keeps them in a directory in which a
-commit's files appear together, by the rename of one manifest.
+commit's files appear together, with the one manifest of its version, and a collection deletes the files that only
+earlier manifests name.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ from __future__ import annotations
 import contextlib
 import json
 import uuid
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -201,9 +204,12 @@ class MemoryStore(Store):
     """Tables of this session; a freed page is gone."""
 
     persistent = False
+    #: Parts of a table after which an append writes it as one.
+    PARTS = 16
 
     def __init__(self, spark: SparkSession):
         super().__init__(spark)
+        self.parts: dict[str, list[DataFrame]] = {}
         self.held: dict[str, DataFrame] = {}
 
     def tables(self) -> dict[str, DataFrame]:
@@ -212,20 +218,17 @@ class MemoryStore(Store):
     def commit(self, changes, version: int) -> None:
         new = {}
         for name, (how, rows) in changes.items():
-            whole = rows if how == "replace" or name not in self.held else self.held[name].unionByName(rows)
-            new[name] = written(whole, f"store-{name}").persist()
-        for name, rows in new.items():
-            if name in self.held:
-                self.held[name].unpersist()
-            self.held[name] = rows
-
-    def close(self) -> None:
-        for rows in self.held.values():
-            rows.unpersist()
+            old = self.parts.get(name, [])
+            if how == "append" and len(old) >= self.PARTS:
+                how, rows = "replace", reduce(DataFrame.unionByName, [*old, rows])
+            # An append writes its own rows. Files of former tables stay for frames that still read them, as long as the session.
+            new[name] = [*(old if how == "append" else []), written(rows, f"store-{name}")]
+        self.parts |= new
+        self.held = {name: reduce(DataFrame.unionByName, parts) for name, parts in self.parts.items()}
 
     def delete(self) -> None:
         self.close()
-        self.held = {}
+        self.parts, self.held = {}, {}
 
 
 class SnapshotStore(MemoryStore):
@@ -245,14 +248,29 @@ class ParquetStore(Store):
         self.manifest = self._latest()
         self.version = self.manifest["version"]
 
-    def _latest(self) -> dict:
+    def _versions(self) -> list[int]:
+        """Versions with a manifest, the latest first."""
         system, target = hadoop_path(self.spark, f"{self.path}/manifests")
         names = [s.getPath().getName() for s in system.listStatus(target)] if system.exists(target) else []
-        versions = [int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()]
-        if not versions:
-            return {"version": 0, "tables": {}}
-        text = self.spark.read.text(f"{self.path}/manifests/{max(versions):012}.json", wholetext=True).first()[0]
-        return json.loads(text)
+        return sorted((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), reverse=True)
+
+    def _read(self, version: int) -> dict | None:
+        """A version's manifest; None for one that its writer has not finished."""
+        text = self.spark.read.text(self._manifest(version), wholetext=True).first()
+        try:
+            return json.loads(text[0]) if text else None
+        except ValueError:
+            return None
+
+    def _manifest(self, version: int) -> str:
+        return f"{self.path}/manifests/{version:012}.json"
+
+    def _latest(self) -> dict:
+        versions = self._versions()
+        for version in versions:
+            if (found := self._read(version)) is not None:
+                return found | {"version": versions[0]}  # the number of an unfinished one isn't used again
+        return {"version": 0, "tables": {}}
 
     def refresh(self) -> None:
         """Sees what others have committed meanwhile."""
@@ -276,16 +294,26 @@ class ParquetStore(Store):
         self.manifest = manifest
 
     def _publish(self, manifest: dict) -> None:
-        """Makes the manifest appear at once; fails if another commit of this version came first."""
-        name = f"{manifest['version']:012}.json"
-        system, target = hadoop_path(self.spark, f"{self.path}/manifests/{name}")
-        _, draft = hadoop_path(self.spark, f"{self.path}/drafts/{uuid.uuid4().hex}-{name}")
-        out = system.create(draft, True)
+        """Writes the manifest under a name that only one writer can create; a reader takes it once it is whole."""
+        system, target = hadoop_path(self.spark, self._manifest(manifest["version"]))
+        try:
+            out = system.create(target, False)
+        except Py4JJavaError as e:
+            raise TreeError("another commit came first; refresh and try again", version=manifest["version"]) from e
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        system.mkdirs(target.getParent())
-        if system.exists(target) or not system.rename(draft, target):
-            raise TreeError("another commit came first; refresh and try again", version=manifest["version"])
+
+    def gc(self, keep=None, epoch: int | None = None) -> dict[str, int]:
+        """As for any store; then the files go that only manifests before the current one name, and these manifests."""
+        found = super().gc(keep, epoch)
+        stay = {d for held in self.manifest["tables"].values() for d in held["dirs"]}
+        for version in self._versions():
+            if version < self.manifest["version"]:
+                held = self._read(version) or {"tables": {}}
+                for place in {d for t in held["tables"].values() for d in t["dirs"]} - stay:
+                    delete(self.spark, f"{self.path}/{place}")
+                delete(self.spark, self._manifest(version))
+        return found
 
     def delete(self) -> None:
         delete(self.spark, self.path)

@@ -1,8 +1,10 @@
-"""Gossip as a stream: pairs put anywhere reach every replica's state.
+"""Gossip as a stream: pairs put at one replica, spread to the others, merged into every replica's state.
 
-Events are rows (replica, key, value, ...). State is one merged value per replica and key, spread by both, so a busy
-replica is no task of its own. Late and repeated events are harmless, for a merger is idempotent and commutative; there
-is no watermark and nothing is dropped. A row comes out when a value changes, which is what a replica would gossip.
+Events are rows (replica, key, value, ...), puts at a replica; spread() sends each to all. State is one merged value per
+replica and key, dealt out by both, so a busy replica is no task of its own. Late and repeated events are harmless, for a
+merger is idempotent and commutative; there is no watermark and nothing is dropped. A row comes out when a value changes,
+which is what a replica would gossip. Mergers of plain values run per row here; others, which are Catalyst aggregates, go
+through merge_stream().
 """
 
 from __future__ import annotations
@@ -13,10 +15,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DataType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, IntegerType, MapType, StructField, StructType
 
 from ..functions.mergers import merger
 from ..operators.entries import merge_values
+from ..operators.spec import TreeError
 from ..sources.tables import new_path, written
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -46,8 +49,16 @@ class MergeProcessor(StatefulProcessor):
         pass
 
 
+def spread(events: DataFrame, names: list) -> DataFrame:
+    """Every put at every replica named: what gossip brings about. Replicas are few; rows grow with their number."""
+    every = F.array(*[F.lit(n).cast(events.schema["replica"].dataType) for n in names])
+    return events.select(F.explode(every).alias("replica"), "key", "value")
+
+
 def effective_puts(events: DataFrame, which: str = "max") -> DataFrame:
     """A stream of the (replica, key, value) that events change; events is one of (replica, key, value)."""
+    if which not in STEPS or isinstance(events.schema["value"].dataType, (StructType, ArrayType, MapType)):
+        raise TreeError("only plain values of these mergers are merged row by row; use merge_stream", mergers=sorted(STEPS), merger=which, type=events.schema["value"].dataType.simpleString())
     out = StructType([StructField(c, events.schema[c].dataType) for c in ("replica", "key", "value")])
     return events.groupBy("replica", "key").transformWithStateInPandas(statefulProcessor=MergeProcessor(which, out["value"].dataType), outputStructType=out, outputMode="update", timeMode="None")
 

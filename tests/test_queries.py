@@ -7,7 +7,7 @@ import pytest
 from hashwood.plans import catalogue
 
 SF = "/root/testdata/sf0.01"
-SLOW = {"grove_online", "grove_bidirectional", "grove_anti_entropy"}  # test_replicas.py has their scenarios
+SLOW = {"grove_online", "grove_bidirectional", "grove_anti_entropy", "grove_counter", "grove_set_union"}  # minutes of messages each; test_replicas.py has their scenarios
 
 
 @pytest.fixture(scope="module")
