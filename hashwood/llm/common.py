@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import gc
 import itertools
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import new_path
+
 #: Rows that go to a Python worker at once. With texts of some 100 KB a batch stays near 100 MB, with usual ones near 4 MB.
 BATCH_ROWS = 1024
 #: Bytes of text that mapped_texts() works on at once.
@@ -25,23 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="hashwood-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """An unused path in the shared folder; Hadoop removes it when the session's JVM ends."""
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
-
-
 def written(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """The rows of df from a table in the shared folder: cuts lineage and outlives executors.
 

@@ -9,8 +9,8 @@ the strings of LENGTH bytes that begin in two places. An anchor with more surrou
 there each string of LENGTH bytes goes by a 128-bit hash into one aggregate, which combines before it shuffles.
 
 Defined results: a null or empty text has no bytes; a text of fewer bytes than LENGTH loses none; equal texts of LENGTH
-bytes or more lose all; rows that repeat a doc_id are texts of their own; a null doc_id is kept; other columns are
-ignored; an empty table gives an empty result.
+bytes or more lose all; a very long one is one text, and its anchors' surroundings meet those of others; rows that repeat
+a doc_id are texts of their own; a null doc_id is kept; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +42,15 @@ def _raw(column: pa.Array) -> list[bytes]:
     return [(x or "").encode("utf-8", "surrogatepass") for x in column.to_pylist()]
 
 
-def _text_hash(raw: bytes) -> int:
-    return int.from_bytes(xxhash.xxh3_64_digest(raw), "little", signed=True)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and text_hash; a row is found by the first and last, whatever texts share a doc_id."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+
+
+def _by_row(rows: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """rows with what was found for their (doc_id, text_hash), one row each."""
+    other = found.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+    return rows.join(other, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), how).drop("_id", "_hash")
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -66,7 +72,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
         for a, b in slices(raw, PASS_BYTES):
             for k, v in part(raw[a:b]).items():
                 out[k] += v
-        return out | {"doc_id": batch.column(0), "text_hash": [_text_hash(x) for x in raw], "n": [len(x) for x in raw]}
+        return out | {"doc_id": batch.column(0), "text_hash": batch.column(2), "n": [len(x) for x in raw]}
 
     def part(raw: list[bytes]) -> dict:
         starts = np.cumsum([0, *map(len, raw)])
@@ -88,7 +94,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
             out["more"].append(several[first])
         return out
 
-    return mapped_texts(docs.select("doc_id", "text"), rows, "doc_id long, text_hash long, n int, own array<int>, places array<int>, grams array<long>, arounds array<long>, more array<boolean>")
+    return mapped_texts(_keyed(docs), rows, "doc_id long, text_hash long, n int, own array<int>, places array<int>, grams array<long>, arounds array<long>, more array<boolean>")
 
 
 def _classes(gram: np.ndarray, first: Hashes, second: Hashes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -235,10 +241,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, size = {f.name: [] for f in schema}, 0
         for batch in batches:
-            for text, uid, text_hash, places in zip(*(batch.column(i) for i in range(4)), strict=True):
+            for text, uid, places in zip(*batch.columns, strict=True):
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                if _text_hash(raw) != text_hash.as_py():
-                    continue  # another text of the same doc_id
                 for x in places.as_py():
                     low = max(0, x["place"] - (LENGTH - GRAM))
                     row = {"gram": x["gram"], "uid": uid.as_py(), "place": x["place"], "low": low, "bytes": raw[low : x["place"] + LENGTH], "settled": x["settled"], "many": x["many"]}
@@ -250,7 +254,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                     out, size = {f.name: [] for f in schema}, 0
         yield as_batch(out, schema)
 
-    texts = docs.join(by_text.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "uid", "text_hash", "wanted")
+    # A row that comes again has the same places, so one of them will do.
+    texts = _by_row(_keyed(docs), by_text, "inner").dropDuplicates(["doc_id", "text_hash", "uid"]).select("text", "uid", "wanted")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "128")  # these are the longer texts, with long arrays
     contexts = written(texts.mapInArrow(cut, ddl), "contexts", release=True)
     few = written(_shards(contexts.where("not many")), "few", release=True)
@@ -284,16 +289,8 @@ def _kept(raw: bytes, spans: list[int]) -> bytes:
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
-    """docs with the text's hash and spans; those of another text with the same doc_id are told by the hash."""
-    spans = repeated_spans(docs).groupBy("doc_id").agg(F.collect_list(F.struct("text_hash", "spans")).alias("_spans")).withColumnRenamed("doc_id", "_id")
-    return docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
-
-
-def _of(raw: bytes, found: list | None) -> list[int]:
-    if not found:
-        return []
-    wanted = _text_hash(raw)
-    return next((x["spans"] for x in found if x["text_hash"] == wanted), [])
+    """doc_id, text and the spans of it that go."""
+    return _by_row(_keyed(docs), repeated_spans(docs), "left").select("doc_id", "text", "spans")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -301,9 +298,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def rows(batch: pa.RecordBatch) -> dict:
         raw = _raw(batch.column(1))
-        return {"doc_id": batch.column(0), "text": [_kept(x, _of(x, s)).decode("utf-8", "replace") for x, s in zip(raw, batch.column(2).to_pylist(), strict=True)]}
+        return {"doc_id": batch.column(0), "text": [_kept(x, s or []).decode("utf-8", "replace") for x, s in zip(raw, batch.column(2).to_pylist(), strict=True)]}
 
-    return mapped_texts(_with_spans(docs.select("doc_id", "text")), rows, "doc_id long, text string")
+    return mapped_texts(_with_spans(docs), rows, "doc_id long, text string")
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -311,10 +308,10 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
     def rows(batch: pa.RecordBatch) -> dict:
         raw = _raw(batch.column(1))
-        spans = [_of(x, s) for x, s in zip(raw, batch.column(2).to_pylist(), strict=True)]
+        spans = [s or [] for s in batch.column(2).to_pylist()]
         return {"doc_id": batch.column(0), "n_bytes": [len(x) for x in raw], "n_removed": [sum(s[1::2]) - sum(s[::2]) for s in spans], "n_spans": [len(s) // 2 for s in spans], "kept_sha256": [hashlib.sha256(_kept(x, s)).hexdigest() for x, s in zip(raw, spans, strict=True)]}
 
-    return mapped_texts(_with_spans(docs.select("doc_id", "text")), rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return mapped_texts(_with_spans(docs), rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 SQL = """

@@ -52,3 +52,12 @@ def test_text_and_empty(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in X.remove_repeats(docs).collect()) == [(1, "x" * 10 + "end"), (2, ""), (3, "é")]
     assert X.exact_dedup(docs.limit(0)).count() == 0
+
+
+def test_very_long_and_many_rows_of_one_id(spark):
+    rng = random.Random(4)
+    make = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    long = make(40_000)
+    rows = [(1, long + make(50)), (2, make(80) + long[100_000:150_000]), *((7, make(40)) for _ in range(20)), *((7, rows) for rows in [make(60)] * 3), (None, make(60)), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in X.exact_dedup(docs).collect()), key=str) == brute(rows)
