@@ -223,15 +223,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     seen = written(occurrences(docs).withColumn("uid", F.monotonically_increasing_id()), "occurrences")
     each = seen.select("uid", F.explode(F.arrays_zip("places", "grams", "arounds", "more")).alias("x")).select("uid", "x.places", "x.grams", "x.arounds", "x.more").toDF("uid", "place", "gram", "around", "more")
     # Both sides combine or are split by size: a gram of many occurrences is no task of its own.
-    shared = each.groupBy("gram").agg(F.count("*").alias("c"), F.max("more").alias("m"), F.min("around").alias("lo"), F.max("around").alias("hi")).where("c > 1 or m").select("gram", F.expr("lo <> hi").alias("differ"))
+    shared = each.groupBy("gram").agg(F.count("*").alias("c"), F.max("more").alias("m")).where("c > 1 or m").select("gram")
     found = written(each.join(shared, "gram"), "shared", release=True)
-    kinds = written(found.groupBy("gram", "around", "differ").agg(F.expr("count(*) > 1 or max(more)").alias("settled"), F.min(F.struct("uid", "place")).alias("one")), "kinds")
-    settled = found.join(kinds.where("settled").select("gram", "around"), ["gram", "around"]).selectExpr("uid", f"place - {LENGTH - GRAM} start", f"place + {LENGTH} end")
-    open_kinds = kinds.where("differ")
-    sizes = open_kinds.groupBy("gram").agg(F.count("*").alias("kinds"))
-    wanted = open_kinds.join(sizes, "gram").select(F.col("one.uid").alias("uid"), F.col("one.place").alias("place"), "gram", "settled", F.expr(f"kinds > {FEW}").alias("many"))
-    keys = seen.select("uid", "doc_id", "text_hash")
-    by_text = wanted.groupBy("uid").agg(F.collect_list(F.struct("place", "gram", "settled", "many")).alias("wanted")).join(keys, "uid")
+    keys = written(seen.select("uid", "doc_id", "text_hash", "n", "own"), "keys")
+    drop_written(seen)  # most of its anchors occur once
+    kinds = written(found.groupBy("gram", "around").agg(F.expr("count(*) > 1 or max(more)").alias("settled"), F.min(F.struct("uid", "place")).alias("one")), "kinds")
+    settled = written(found.join(kinds.where("settled").select("gram", "around"), ["gram", "around"]).selectExpr("uid", f"place - {LENGTH - GRAM} start", f"place + {LENGTH} end"), "settled", release=True)
+    drop_written(found)
+    sizes = kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    wanted = kinds.join(sizes, "gram").select(F.col("one.uid").alias("uid"), F.col("one.place").alias("place"), "gram", "settled", F.expr(f"kinds > {FEW}").alias("many"))
+    by_text = wanted.groupBy("uid").agg(F.collect_list(F.struct("place", "gram", "settled", "many")).alias("wanted")).join(keys.drop("n", "own"), "uid")
 
     ddl = "gram long, uid long, place int, low int, bytes binary, settled boolean, many boolean"
     spark = docs.sparkSession
@@ -254,8 +255,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                     out, size = {f.name: [] for f in schema}, 0
         yield as_batch(out, schema)
 
-    # A row that comes again has the same places, so one of them will do.
-    texts = _by_row(_keyed(docs), by_text, "inner").dropDuplicates(["doc_id", "text_hash", "uid"]).select("text", "uid", "wanted")
+    # Of rows that come again only the first uid has kinds of surroundings; what its copies bring is the same place again.
+    texts = _by_row(_keyed(docs), by_text, "inner").select("text", "uid", "wanted")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "128")  # these are the longer texts, with long arrays
     contexts = written(texts.mapInArrow(cut, ddl), "contexts", release=True)
     few = written(_shards(contexts.where("not many")), "few", release=True)
@@ -266,9 +267,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     many = written(strings.where("not settled").join(again, ["a", "b"]).selectExpr("uid", "start", f"start + {LENGTH} end"), "many", release=True)
     for table in (contexts, strings):
         drop_written(table)
-    own = seen.where("size(own) > 0").select("uid", F.expr("inline(transform(sequence(0, size(own) div 2 - 1), i -> struct(own[2 * i] as start, own[2 * i + 1] as end)))"))
+    own = keys.where("size(own) > 0").select("uid", F.expr("inline(transform(sequence(0, size(own) div 2 - 1), i -> struct(own[2 * i] as start, own[2 * i + 1] as end)))"))
     spans = settled.union(few).union(many).union(own)
-    gathered = spans.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans")).join(seen.select("uid", "doc_id", "text_hash", "n"), "uid")
+    gathered = spans.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans")).join(keys.drop("own"), "uid")
 
     def join_spans(batch: pa.RecordBatch) -> dict:
         out = []
@@ -278,7 +279,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         return {"doc_id": batch.column(0), "text_hash": batch.column(1), "spans": out}
 
     result = written(mapped(gathered.select("doc_id", "text_hash", "spans", "n"), join_spans, "doc_id long, text_hash long, spans array<int>").dropDuplicates(["doc_id", "text_hash"]), "spans", release=True)
-    for table in (seen, found, kinds, few, many):
+    for table in (keys, settled, kinds, few, many):
         drop_written(table)
     return result
 
