@@ -18,7 +18,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
-import functools
+import gc
 import math
 import re
 from collections.abc import Iterator
@@ -153,6 +153,11 @@ def _count_grams(held: dict, batch: pa.RecordBatch) -> None:
                 pair[1] += n1
 
 
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits if these hold them all."""
+    return counts.astype(np.uint32 if not len(counts) or counts.max() < 1 << 32 else np.uint64)
+
+
 def learn(labelled: DataFrame) -> Model | None:
     """The model from rows (text, toxic 0 or 1); None without both classes."""
     kinds = written(gather(labelled.select("text", "toxic"), "word", _count_words), "words")
@@ -185,7 +190,8 @@ def learn(labelled: DataFrame) -> Model | None:
     # A history comes once for each letter after it, so that its rows are its kinds.
     sums = mapped(every, rows, "name byte, key long, n long").groupBy("name", "key").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toArrow()
     names, keys = sums["name"].to_numpy(), sums["key"].to_numpy().view(_U)
-    counts, several = (sums[c].to_numpy().astype(np.float64) for c in ("n", "kinds"))
+    counts, several = (narrow(sums[c].to_numpy()) for c in ("n", "kinds"))
+    del sums
     tables = {}
     for i, name in enumerate(NAMES):
         on = np.flatnonzero(names == i)
@@ -258,6 +264,46 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.features(batch) @ self.curve[:-1] + self.curve[-1], -30, 30)))
 
 
+def train(docs: DataFrame, labels: DataFrame) -> Scorer | None:
+    """The scorer from documents (doc_id, text) and labels (doc_id, toxic)."""
+    spark = docs.sparkSession
+    known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(_fold() != 2)
+    known = written(known, "labels")
+    if known.count() <= BROADCAST_LABELS:  # at most some 50 MB; more of them are joined by a shuffle
+        known = F.broadcast(known)
+    labelled = docs.select("doc_id", "text").join(known, "doc_id")
+    # One model at a time is held here: that of the curve goes before the other is learned.
+    curve = _curve(labelled)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    model = learn(labelled)
+    return model and Scorer(model, curve)
+
+
+def _curve(labelled: DataFrame) -> np.ndarray:
+    """Weights that fit the evidence of two thirds' counts to the labels of the rest; without both classes, those of the mean alone."""
+    plain = np.array([1.0, *[0.0] * (FEATURES - 1), math.log(THRESHOLD / (1 - THRESHOLD))])
+    first = learn(labelled.where(_fold() < 2))
+    if first is None:
+        return plain
+    shared, cache = labelled.sparkSession.sparkContext.broadcast(Scorer(first, None)), {}
+
+    def rows(batch: pa.RecordBatch) -> dict:
+        scorer = cache.setdefault("scorer", shared.value)
+        return {"h": batch.column(0), "toxic": batch.column(2), "x": list(scorer.features(texts(batch.column(1))))}
+
+    sample = labelled.where(_fold() == 3).select(F.xxhash64("doc_id").alias("h"), "text", "toxic")
+    found = mapped(sample, rows, "h long, toxic int, x array<double>").orderBy("h").limit(FIT_ROWS).toArrow()
+    shared.destroy()
+    x = np.array(found["x"].combine_chunks().values.to_numpy()).reshape(-1, FEATURES) if len(found) else np.zeros((0, FEATURES))
+    y = np.array(found["toxic"].to_pylist(), float)
+    return fit_curve(x, y) if len(y) and y.min() < y.max() else plain
+
+
+def score(self, batch: list[str]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.features(batch) @ self.curve[:-1] + self.curve[-1], -30, 30)))
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Scorer | None:
     """The scorer from documents (doc_id, text) and labels (doc_id, toxic)."""
     spark = docs.sparkSession
