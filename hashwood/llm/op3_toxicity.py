@@ -300,37 +300,6 @@ def _curve(labelled: DataFrame) -> np.ndarray:
     return fit_curve(x, y) if len(y) and y.min() < y.max() else plain
 
 
-def score(self, batch: list[str]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.features(batch) @ self.curve[:-1] + self.curve[-1], -30, 30)))
-
-
-def train(docs: DataFrame, labels: DataFrame) -> Scorer | None:
-    """The scorer from documents (doc_id, text) and labels (doc_id, toxic)."""
-    spark = docs.sparkSession
-    known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(_fold() != 2)
-    known = written(known, "labels")
-    if known.count() <= BROADCAST_LABELS:  # at most some 50 MB; more of them are joined by a shuffle
-        known = F.broadcast(known)
-    labelled = docs.select("doc_id", "text").join(known, "doc_id")
-    model, first = learn(labelled), learn(labelled.where(_fold() < 2))
-    if model is None:
-        return None
-    plain = np.array([1.0, *[0.0] * (FEATURES - 1), math.log(THRESHOLD / (1 - THRESHOLD))])
-    if first is None:
-        return Scorer(model, plain)
-    shared, cache = spark.sparkContext.broadcast(Scorer(first, None)), {}
-
-    def rows(batch: pa.RecordBatch) -> dict:
-        scorer = cache.setdefault("scorer", shared.value)
-        return {"h": batch.column(0), "toxic": batch.column(2), "x": list(scorer.features(texts(batch.column(1))))}
-
-    sample = labelled.where(_fold() == 3).select(F.xxhash64("doc_id").alias("h"), "text", "toxic")
-    found = mapped(sample, rows, "h long, toxic int, x array<double>").orderBy("h").limit(FIT_ROWS).toArrow()
-    x, y = np.array(found["x"].to_pylist(), float).reshape(-1, FEATURES), np.array(found["toxic"].to_pylist(), float)
-    shared.destroy()
-    return Scorer(model, fit_curve(x, y) if len(y) and y.min() < y.max() else plain)
-
-
 def score(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted."""
     shared, cache = docs.sparkSession.sparkContext.broadcast(scorer), {}
