@@ -33,11 +33,17 @@ def written(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     if release:
-        gc.collect()  # Python's proxies keep the JVM's plans
-        df.sparkSession._jvm.System.gc()
+        give_back(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Has the driver return memory that nothing needs: Arrow's pool here, and in the JVM plans, shuffles and broadcasts that nothing refers to."""
+    gc.collect()  # Python's proxies keep the JVM's plans
+    pa.default_memory_pool().release_unused()
+    spark._jvm.System.gc()
+
+
 def drop_written(df: DataFrame) -> None:
     """Deletes the files under a table of written() that is no longer read."""
     spark = df.sparkSession

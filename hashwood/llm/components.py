@@ -21,7 +21,7 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(here.toDF("b", "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = here.join(near, "node").selectExpr("node", "label old", "least(label, near) label")
         jump = here.toDF("label", "far")
-        moved = written(step.join(jump, "label").selectExpr("node", "least(label, far) label", "least(label, far) <> old changed"), "labels")
+        moved = written(step.join(jump, "label").selectExpr("node", "least(label, far) label", "least(label, far) <> old changed"), "labels", release=True)
         drop_written(labels)
         labels = moved
     drop_written(both)

@@ -18,7 +18,6 @@ table gives an empty result.
 
 from __future__ import annotations
 
-import gc
 import math
 import re
 from collections.abc import Iterator
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, arrow_schema, as_batch, drop_written, mapped, only, texts, written
+from .common import BATCH_ROWS, arrow_schema, as_batch, drop_written, give_back, mapped, only, texts, written
 from .pieces import slices
 
 ORDER = 6
@@ -274,9 +273,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer | None:
     labelled = docs.select("doc_id", "text").join(known, "doc_id")
     # One model at a time is held here: that of the curve goes before the other is learned.
     curve = _curve(labelled)
-    gc.collect()
-    pa.default_memory_pool().release_unused()
+    give_back(spark)
     model = learn(labelled)
+    give_back(spark)
     return model and Scorer(model, curve)
 
 
