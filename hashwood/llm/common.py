@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +29,8 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def written(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """The rows of df from a table in the shared folder: cuts lineage and outlives executors.
 
-    release: have the driver look for shuffles that nothing refers to any more, so that their files go before the next.
+    release: have the driver look for shuffles that nothing refers to any more, so that their files go before the next, and
+    return its memory.
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
@@ -42,6 +44,24 @@ def give_back(spark: SparkSession) -> None:
     gc.collect()  # Python's proxies keep the JVM's plans
     pa.default_memory_pool().release_unused()
     spark._jvm.System.gc()
+    trim(spark)
+
+
+def trim(spark: SparkSession) -> bool:
+    """Has the driver's C library return what the JVM has freed outside of its heap, as compilers of code do; False on a JVM that can't.
+
+    The library keeps freed memory in an arena per thread, and every plan's code is compiled by several.
+    """
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    given = gateway.new_array(jvm.Object, 4)
+    given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    # The server's own class is closed to reflection, its interface isn't.
+    invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    try:
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JJavaError:
+        return False
+    return True
 
 
 def drop_written(df: DataFrame) -> None:

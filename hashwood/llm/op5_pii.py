@@ -231,17 +231,17 @@ def attempts(found: DataFrame, key: str, surrogate=surrogate_sql) -> DataFrame:
     """(kind, entity, attempt) of the entities whose first surrogate was another's, or was a real entity."""
     blocks = key_column(found.sparkSession, key)
     keyed = lambda df: df.withColumn(HMAC, blocks)
-    real = written(found, "entities")
-    state = written(keyed(real).selectExpr("kind", "entity", "0 attempt", f"{surrogate('kind', 'entity', chr(39) + '0' + chr(39))} surrogate"), "surrogates")
+    real = written(found, "entities", release=True)
+    state = written(keyed(real).selectExpr("kind", "entity", "0 attempt", f"{surrogate('kind', 'entity', chr(39) + '0' + chr(39))} surrogate"), "surrogates", release=True)
     while True:
         taken = state.groupBy("kind", "surrogate").agg(F.min(F.struct(F.expr("attempt"), F.expr("entity"))).alias("first"), F.count("*").alias("n")).where("n > 1").select("kind", "surrogate", F.col("first.entity").alias("owner"))
         marked = state.join(taken, ["kind", "surrogate"], "left").join(real.toDF("kind", "surrogate").withColumn("real", F.lit(True)), ["kind", "surrogate"], "left")
         bad = "(owner IS NOT NULL AND owner <> entity) OR real"
-        clash = written(marked.where(bad).select("kind", "entity", F.expr("attempt + 1").alias("attempt")), "clashes")
+        clash = written(marked.where(bad).select("kind", "entity", F.expr("attempt + 1").alias("attempt")), "clashes", release=True)
         if clash.isEmpty():
             break
         again = keyed(clash).selectExpr("kind", "entity", "attempt", f"{surrogate('kind', 'entity', 'cast(attempt as string)')} surrogate")
-        before, state = state, written(state.join(clash.select("kind", "entity"), ["kind", "entity"], "left_anti").select("kind", "entity", "attempt", "surrogate").union(again), "surrogates")
+        before, state = state, written(state.join(clash.select("kind", "entity"), ["kind", "entity"], "left_anti").select("kind", "entity", "attempt", "surrogate").union(again), "surrogates", release=True)
         drop_written(before)
     return state.where("attempt > 0").select("kind", "entity", "attempt")
 
@@ -250,8 +250,8 @@ def replaced(docs: DataFrame, key: str, surrogate=surrogate_sql) -> DataFrame:
     """row (a struct of the columns of docs), text with surrogates, and kinds, of the candidates in order (null for one that failed its check)."""
     # The caller's columns travel in one struct, so that none of their names can clash.
     found = with_candidates(docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text")))
-    searched = written(candidates(docs), "candidates")
-    higher = written(attempts(entities(searched), key, surrogate), "attempts")
+    searched = written(candidates(docs), "candidates", release=True)
+    higher = written(attempts(entities(searched), key, surrogate), "attempts", release=True)
     none = "cast(map() as map<string, int>)"
     if higher.isEmpty():
         found = found.withColumn("attempts", F.expr(none))
@@ -259,7 +259,7 @@ def replaced(docs: DataFrame, key: str, surrogate=surrogate_sql) -> DataFrame:
         # By text, as equal texts need the same attempts; a digest stands for it.
         inside = searched.select("digest", F.expr("explode(found) m")).distinct().select("digest", F.expr(f"inline({parts_sql('m')})"))
         by_text = inside.distinct().join(higher, ["kind", "entity"]).groupBy("digest").agg(F.expr("map_from_entries(collect_list(struct(concat(kind, ' ', entity), attempt)))").alias("attempts"))
-        by_text = written(by_text, "attempts")
+        by_text = written(by_text, "attempts", release=True)
         if by_text.count() <= BROADCAST_TEXTS:
             by_text = F.broadcast(by_text)
         found = found.withColumn("digest", F.md5("text")).join(by_text, "digest", "left").withColumn("attempts", F.expr(f"coalesce(attempts, {none})"))
