@@ -30,9 +30,10 @@ from .pieces import MEMO_PIECES, slices
 BLOCK_IDS = 1 << 18
 END_ID = 2
 SCHEMA = "part int, block int, n_ids long, doc_ids array<long>, lengths array<long>, words binary, offsets binary, escapes binary"
-# The byte-level split for plain Latin texts, letters and numbers up to U+024F spelt out.
+# The byte-level split for plain Latin texts, letters and numbers up to U+024F spelt out. Nothing follows a run in its part,
+# so runs needn't be given back (++).
 _L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
-PIECES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?(?:[{_L}]+|[{_N}]+|[^\s{_L}{_N}]+)|\s+(?!\S)|\s+").findall
+PIECES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?(?:[{_L}]++|[{_N}]++|[^\s{_L}{_N}]++)|\s+(?!\S)|\s+").findall
 ODD = re.compile(r"[^\t\n\x20-\x7e\xa1-ɏ]").search
 _MEMO: dict[str, tuple] = {}
 

@@ -47,32 +47,38 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             shifted = np.zeros_like(most)
             shifted[:, : most.shape[1] - reach] = most[:, reach:]
             most, held = np.maximum(most, shifted), held + reach
-        fits = most[:, :MINI] <= WIDTHS[s]
+        fits = most[:, :MINI] <= np.uint8(WIDTHS[s])  # of one type with the widths, else all are cast
         if not fits.any():
             break  # wider words would need all of these to fit
-        selector[fits] = s
-    ends = np.minimum(n - np.arange(rows) * MINI, MINI)
-    steps = COUNTS[selector].astype(np.int32)
-    chosen = np.zeros((rows, MINI), bool)
-    row, at = np.arange(rows), np.zeros(rows, np.int64)
-    while len(row):
-        chosen[row, at] = True
-        at = at + steps[row, at]
-        on = at < ends[row]
-        row, at = row[on], at[on]
-    offsets = np.concatenate([[0], np.cumsum(chosen.sum(axis=1))]).astype(np.int64)
-    row, at = np.nonzero(chosen)
+        np.copyto(selector, np.uint8(s), where=fits)
+    # Where the word after the one that starts at a place starts; past a mini-block's values is one more place, which stays.
+    after = np.full((rows, MINI + 1), MINI)
+    np.minimum(COUNTS.take(selector) + np.arange(MINI), MINI, out=after[:, :MINI])
+    after[-1:][after[-1:] >= n - (rows - 1) * MINI] = MINI
+    after += np.arange(rows)[:, None] * (MINI + 1)
+    after, chosen = after.reshape(-1), np.zeros(after.size, bool)
+    at, last = np.arange(rows) * (MINI + 1), np.arange(1, rows + 1) * (MINI + 1) - 1
+    while (at < last).any():
+        for _ in range(16):
+            chosen[at] = True
+            at = after.take(at)
+    chosen[last] = False
+    row, at = np.divmod(np.flatnonzero(chosen), MINI + 1)
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))]).astype(np.int64)
     picked = selector[row, at]
     words = picked.astype(np.uint64) << np.uint64(60)
     escapes = np.zeros(0, np.uint64)
+    held, at = padded.reshape(-1), row * (MINI + PAD) + at
     for s in np.unique(picked):
         which = np.flatnonzero(picked == s)
         if s == ESCAPE:
-            escapes = padded[row[which], at[which]]
+            escapes = held[at[which]]
             words[which] |= np.arange(len(which), dtype=np.uint64)
         elif WIDTHS[s]:
+            start, low = at[which], np.zeros(len(which), np.uint64)
             for j in range(COUNTS[s]):
-                words[which] |= padded[row[which], at[which] + j] << np.uint64(j * int(WIDTHS[s]))
+                low |= held.take(start + j) << np.uint64(j * int(WIDTHS[s]))
+            words[which] |= low
     return words, offsets, escapes
 
 
