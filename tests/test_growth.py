@@ -2,10 +2,12 @@
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from test_pages import PAIRS, built, level, plain
+from test_replicas import frame, group, keys
 
 from hashwood.operators import entries as E
-from hashwood.operators import fold, pages
+from hashwood.operators import fold, pages, reach
 
 
 def batches(rows, size):
@@ -49,3 +51,42 @@ def test_pages_hold_no_partition(spark):
     outline = pages.outline(E.build(spark.createDataFrame([(k, 1) for k in range(50)], "key long, value long"), PAIRS))
     assert "Window" not in plan + outline._jdf.queryExecution().toString()
     assert not hasattr(pages, "bounded")
+
+
+def test_messages_dont_multiply(spark):
+    network, (p1, p2) = group(spark, 2)
+    p1.put(frame(spark, range(600)), broadcast=False)
+    p1.trigger("p2")
+    network.run()
+    assert keys(p2) == list(range(600)) and p1.root() == p2.root()
+    assert network.delivered <= 8
+    p2.put(frame(spark, range(590, 650)), broadcast=False)
+    p2.trigger("p1")
+    before = network.delivered
+    network.run()
+    assert keys(p1) == list(range(650)) and p1.root() == p2.root()
+    assert network.delivered - before <= 8
+
+
+def test_get_asks_for_what_is_not_held(spark):
+    network, (p1, p2) = group(spark, 2)
+    p1.put(frame(spark, range(600)), broadcast=False)
+    p2.put(frame(spark, range(580)), broadcast=False)
+    shared = {r.hash for r in p2.tree.store.list().collect()} & {r.hash for r in p1.tree.store.list().collect()}
+    p1.trigger("p2")
+    to, message = network.queue.popleft()
+    network.members[to].handle(message)
+    to, message = network.queue.popleft()
+    assert message.kind == "get"
+    network.members[to].handle(message)
+    sent = {r.hash for r in next(m for _, m in network.queue if m.kind == "put").pages.collect()}
+    assert shared and not sent & shared and p1.root() in sent
+
+
+def test_walk_reads_only_pages_with_pointers(spark):
+    got = built(spark, [(k, 1) for k in range(300)])
+    root = pages.roots(got).first().root
+    low = {r.hash for r in got.where("level = 0").collect()}
+    assert {r.hash for r in reach.reached(got, root).collect()} == {r.hash for r in got.collect()}
+    assert {r.hash for r in reach.missing_set(got.where("level > 0"), [root, None]).collect()} == low
+    assert {r.hash for r in reach.reached(got, got.select(F.col("hash")).where("level = 0")).collect()} == low
