@@ -2,9 +2,9 @@
 
 Events are rows (replica, key, value, ...), puts at a replica; spread() sends each to all. State is one merged value per
 replica and key, dealt out by both, so a busy replica is no task of its own. Late and repeated events are harmless, for a
-merger is idempotent and commutative; there is no watermark and nothing is dropped. A row comes out when a value changes,
-which is what a replica would gossip. Mergers of plain values run per row here; others, which are Catalyst aggregates, go
-through merge_stream().
+merger is idempotent and commutative; there is no watermark and nothing is dropped. Of effective_puts() a row comes out
+when a value changes, which is what a replica would gossip; there mergers of plain values run per row, others, which are
+Catalyst aggregates, go through merge_stream(). final_state() asks for the outcome only and takes the aggregates.
 """
 
 from __future__ import annotations
@@ -65,12 +65,16 @@ def effective_puts(events: DataFrame, which: str = "max") -> DataFrame:
 
 def run_to_end(events: DataFrame, which: str = "max") -> DataFrame:
     """All that a finite stream changes, as a table of the rows that came out."""
-    spark: SparkSession = events.sparkSession
+    return _run(effective_puts(events, which))
+
+
+def _run(changed: DataFrame) -> DataFrame:
+    """The rows that come out of a finite stream, with the batch of each."""
+    spark: SparkSession = changed.sparkSession
     provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     try:
         path, marks = new_path(spark, "stream"), new_path(spark, "stream-marks")
-        changed = effective_puts(events, which)
         # Each batch is a directory of its own, written anew if it is repeated: one result per batch.
         query = changed.writeStream.outputMode("update").foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")).option("checkpointLocation", marks).trigger(availableNow=True).start()
         query.awaitTermination()
@@ -84,8 +88,12 @@ def run_to_end(events: DataFrame, which: str = "max") -> DataFrame:
 
 
 def final_state(events: DataFrame, which: str = "max") -> DataFrame:
-    """(replica, key, value) after a finite stream: the last change of each."""
-    found = run_to_end(events, which)
+    """(replica, key, value) after a finite stream: the last change of each.
+
+    Whether a row changed anything doesn't matter here, so values are merged by Spark's own aggregate, any merger's,
+    before and after they are dealt out; a processor in Python would be called for every key.
+    """
+    found = _run(merge_values(events.select("replica", "key", "value"), which, "replica", "key"))
     last = found.groupBy("replica", "key").agg(F.max_by("value", "batch").alias("value"))
     return written(last, "state")
 

@@ -8,6 +8,7 @@ from test_replicas import frame, group, keys
 
 from hashwood.operators import entries as E
 from hashwood.operators import fold, pages, reach
+from hashwood.streaming import gossip
 
 
 def batches(rows, size):
@@ -90,3 +91,13 @@ def test_walk_reads_only_pages_with_pointers(spark):
     assert {r.hash for r in reach.reached(got, root).collect()} == {r.hash for r in got.collect()}
     assert {r.hash for r in reach.missing_set(got.where("level > 0"), [root, None]).collect()} == low
     assert {r.hash for r in reach.reached(got, got.select(F.col("hash")).where("level = 0")).collect()} == low
+
+
+def test_final_state_calls_no_processor(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(gossip, "effective_puts", None)
+    rows = [(i % 2, i % 6, [f"e{i % 4}"]) for i in range(60)] + [(0, 99, None)]
+    table = spark.createDataFrame(rows, "replica int, key long, value array<string>")
+    table.repartition(3).write.parquet(f"{tmp_path}/in")
+    stream = lambda: spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = {(r.replica, r.key): r.value for r in gossip.final_state(gossip.spread(stream(), [0, 1]), "set_union").collect()}
+    assert got == {(r, k): sorted({v[0] for _, x, v in rows if x == k and v}) for r in (0, 1) for k in (*range(6), 99)}
